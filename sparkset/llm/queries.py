@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sparkset.llm import bpe
+from sparkset.llm import bpe, simhash, suffixes
 
 QUERIES = {
+    "op8_suffix_repeats": suffixes.op8_suffix_repeats,
     "op9_bpe_roundtrip": bpe.op9_bpe_roundtrip,
+    "op10_simhash_components": simhash.op10_simhash_components,
 }
 
 #: DuckDB SQL of the same rows. The other operators can't be expressed in SQL and are tested against brute force.
