@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from sparkset.llm import bpe, simhash, suffixes
+from sparkset.llm import bpe, quality_rules, simhash, suffixes
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op8_suffix_repeats": suffixes.op8_suffix_repeats,
     "op9_bpe_roundtrip": bpe.op9_bpe_roundtrip,
     "op10_simhash_components": simhash.op10_simhash_components,
 }
 
 #: DuckDB SQL of the same rows. The other operators can't be expressed in SQL and are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE,
+}

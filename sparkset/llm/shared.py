@@ -66,5 +66,4 @@ def own_column(df: DataFrame, wanted: str) -> str:
 
 def words(text):
     """Words of a text column; null and blank texts have none."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WORD_BREAK}|{WORD_BREAK}$", "")
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, WORD_BREAK))
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), WORD_BREAK), "")
