@@ -19,9 +19,9 @@ WINDOW = 5
 ENOUGH = 50
 #: A limit lies this many interquartile ranges beyond the quartile, and at least the slack of its measure.
 RANGES = 3
-#: Measures and their slack: symbols, words in repeated windows and repeated lines per 1000 words; capitals per 1000
-#: characters; hundredths of a character per word (limited on both sides).
-SLACK = {"symbols": 100, "repeats": 100, "lines": 100, "capitals": 150, "length": 150}
+#: Measures and their slack: symbols and repeated lines per 1000 words; capitals per 1000 characters; hundredths of a
+#: character per word (limited on both sides). Words in repeated windows are left to the base rule.
+SLACK = {"symbols": 100, "lines": 100, "capitals": 150, "length": 150}
 
 
 def measured(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -61,7 +61,6 @@ def measures() -> dict[str, Column]:
     per = lambda top, bottom, times: F.expr(f"{times} * {top} div greatest({bottom}, 1)")
     return {
         "symbols": per("n_symbols", "n_words", 1000),
-        "repeats": per("n_repeat_words", "n_words", 1000),
         "lines": per("n_dup_lines", "n_words", 1000),
         "capitals": per("n_capitals", "word_chars", 1000),
         "length": per("word_chars", "n_words", 100),
@@ -137,7 +136,7 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    per = {"symbols": "1000 * n_symbols // greatest(n_words, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)", "lines": "1000 * n_dup_lines // greatest(n_words, 1)", "capitals": "1000 * n_capitals // greatest(word_chars, 1)", "length": "100 * word_chars // greatest(n_words, 1)"}
+    per = {"symbols": "1000 * n_symbols // greatest(n_words, 1)", "lines": "1000 * n_dup_lines // greatest(n_words, 1)", "capitals": "1000 * n_capitals // greatest(word_chars, 1)", "length": "100 * word_chars // greatest(n_words, 1)"}
     union = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {v} AS v, {SLACK[k]} AS slack FROM good" for k, v in per.items())
     bucket = "CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END"
     value = "CASE WHEN bucket < 64 THEN bucket ELSE (bucket - (bucket // 32 - 1) * 32) << (bucket // 32 - 1) END"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sparkset.llm import bpe, quality_rules, simhash, suffixes
+from sparkset.llm import bpe, licenses, quality_rules, simhash, suffixes, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_license_scan": licenses.op2_license_scan,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op8_suffix_repeats": suffixes.op8_suffix_repeats,
     "op9_bpe_roundtrip": bpe.op9_bpe_roundtrip,
     "op10_simhash_components": simhash.op10_simhash_components,
@@ -14,4 +16,5 @@ QUERIES = {
 #: DuckDB SQL of the same rows. The other operators can't be expressed in SQL and are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op2_license_scan": licenses.ORACLE,
 }
