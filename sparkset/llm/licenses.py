@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import keep, own_column, read_table
+from sparkset.llm.shared import keep, let, own_column, read_table
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -58,14 +58,15 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _each(words: str, make) -> Column:
-    """``make(i)`` for the start of each five-word shingle in an array of words; empty where there are fewer words."""
-    n = F.size(words) - SHINGLE
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), make)).otherwise(F.array().cast("array<bigint>"))
+def shingle_names(words: str) -> Column:
+    """Hashes of the five-word shingles of an array of words; none where there are fewer words."""
 
+    def of(w: Column) -> Column:
+        last = F.size(w) - SHINGLE
+        names = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+        return F.when(last >= 0, names).otherwise(F.array().cast("array<bigint>"))
 
-def shingle_names(words: str) -> Column:
-    return _each(words, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+    return let(F.col(words), of)
 
 
 def bands(window: Column) -> Column:
@@ -73,6 +74,16 @@ def bands(window: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform(window, lambda x: F.xxhash64(x, k))))
 
 
+def _windows_at(width: int, step: int) -> Column:
+    """The windows of ``names`` that hold a position of ``hits``, once each."""
+
+    def holders(hit: Column) -> Column:
+        return F.sequence(F.greatest(F.floor((hit - width + step) / step), F.lit(0)).cast("int"), F.floor(hit / step).cast("int"))
+
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda hit: holders(hit))))
+    return let(F.col("names"), lambda names: F.transform(starts, lambda k: F.slice(names, k * step + 1, width)))
+
+
 def _template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"at most {MOST_TEMPLATES} templates")
@@ -106,17 +117,10 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, i
     df = documents.select(F.col(id_col).alias(doc), license_words(F.col(text_col)).alias("words"))
     df = df.select(doc, "words", shingle_names("words").alias("names"))
     of_templates = F.lit(known).cast("array<bigint>") if known else F.array().cast("array<bigint>")
-    df = df.where(F.arrays_overlap("names", of_templates)).select(doc, "words", "names", F.array_intersect("names", of_templates).alias("met"))
-    spots = F.filter(F.transform("names", lambda x, i: F.when(F.array_contains("met", x), i)), lambda i: i.isNotNull())
-    df = df.select(doc, "words", "names", spots.alias("hits"))
-    shared = F.array_distinct(F.transform("hits", lambda i: F.array_join(F.slice("words", i + 1, SHINGLE), " ")))
-    windows = [
-        F.transform(
-            F.array_distinct(F.flatten(F.transform("hits", lambda i, w=w, step=step: F.sequence(F.greatest(F.floor((i - w + step) / step), F.lit(0)).cast("int"), F.floor(i / step).cast("int"))))),
-            lambda k, w=w, step=step: F.slice("names", k * step + 1, w),
-        )
-        for w, step in WINDOWS
-    ]
+    spots = lambda met: F.filter(F.transform("names", lambda x, i: F.when(F.array_contains(met, x), i)), lambda i: i.isNotNull())
+    df = df.where(F.arrays_overlap("names", of_templates)).select(doc, "words", "names", let(F.array_intersect("names", of_templates), spots).alias("hits"))
+    shared = let(F.col("words"), lambda w: F.array_distinct(F.transform("hits", lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))))
+    windows = [_windows_at(width, step) for width, step in WINDOWS]
     df = df.select(doc, shared.alias("shared"), F.concat(*windows).alias("windows"))
     signed = df.select(doc, "shared", F.explode(F.array_distinct(F.flatten(F.transform("windows", lambda w: F.transform(bands(w), lambda x, k: F.struct(k.alias("band"), x.alias("least"))))))).alias("b"))
     retrieved = signed.select(doc, "shared", "b.band", "b.least").join(F.broadcast(keep(_template_windows(table))), ["band", "least"]).select(doc, "shared", "template").distinct()

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 #: White space that separates words: the space and the five ASCII controls from tab to carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
-_kept: list[tuple[SparkSession, str]] = []
+#: Removes a query's shuffle files as it ends; nothing reads them again once its rows are a written table.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_kept: dict[str, SparkSession] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,22 +39,39 @@ def _context_dir(spark: SparkSession) -> str | None:
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage: the rows outlive the executors that made them. The files go when Python exits.
+    This cuts the lineage: the rows outlive the executors that made them. The files go when Python exits, or by ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sparkset-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     if not _kept:
         atexit.register(_drop_kept)
-    _kept.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _kept[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sparkset_path = path
+    return out
+
+
+def release(kept: DataFrame) -> None:
+    """Delete the files of a table made by ``keep`` that nothing will read again."""
+    path = kept._sparkset_path
+    _delete(_kept.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(target, True)
 
 
 def _drop_kept() -> None:
-    for spark, path in _kept:
+    for path, spark in _kept.items():
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended before Python does
             return
 
@@ -64,6 +84,11 @@ def own_column(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def let(value, body):
+    """``body(value)`` with the value computed once a row: the optimizer would else move it into lambdas that run for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text):
     """Words of a text column; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), WORD_BREAK), "")

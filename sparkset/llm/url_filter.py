@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import own_column, read_table
+from sparkset.llm.shared import let, own_column, read_table
 
 #: (verdict, host/path): a rule holds for its host and all subdomains, for paths that start with its path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -73,11 +73,13 @@ def gram_buckets(host: Column, path: Column) -> Column:
 
     def grams(text: Column, n: int) -> Column:
         last = F.char_length(text) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(text, i + 1, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        found = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(text, i + 1, F.lit(n)))
+        return F.when(last >= 0, found).otherwise(F.array().cast("array<string>"))
 
     marked = [F.concat(F.lit("^h"), host, F.lit("$")), F.concat(F.lit("^p"), path, F.lit("$"))]
-    kinds = [F.transform(grams(text, n), lambda g, k=k: F.pmod(F.xxhash64(g, F.lit(k)), F.lit(BUCKETS)).cast("int")) for k, text in enumerate(marked) for n in GRAMS]
-    return F.concat(*kinds)
+    bucket = lambda k: lambda g: F.pmod(F.xxhash64(g, F.lit(k)), F.lit(BUCKETS)).cast("int")
+    of = lambda k: lambda text: F.concat(*[F.transform(grams(text, n), bucket(k)) for n in GRAMS])
+    return F.concat(*[let(text, of(k)) for k, text in enumerate(marked)])
 
 
 class UrlModel:
