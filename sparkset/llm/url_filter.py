@@ -95,7 +95,7 @@ class UrlModel:
         return 1 / (1 + F.exp(-(F.lit(self.intercept) + total / F.sqrt(F.greatest(F.size(buckets), F.lit(1)).cast("double")))))
 
 
-def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", regularisation: float = 0.01) -> UrlModel:
+def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", regularisation: float = 0.001) -> UrlModel:
     """Logistic regression over the labelled table, which may have ``MOST_LABELLED`` rows. Rows with a null label don't count."""
     rows = labelled.select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label")).where("label is not null")
     if rows.limit(MOST_LABELLED + 1).count() > MOST_LABELLED:
