@@ -6,10 +6,13 @@ offsets: the identifier of 2q bytes at i comes from those of q bytes at i and at
 reusing the identifiers that the round before has updated. An identifier is a 64-bit name made from the two
 before it, so tasks agree on it without ranking all suffixes; it takes the place of the bucket's pointer.
 
-Buckets with one suffix are finished early. Each window of L bytes falls to the smallest q-gram identifier in it,
-so equal windows fall to equal identifiers; consecutive windows with the same one form a segment. Segments are
-grouped by that first bucket, then by the name of their whole content. Only where a bucket holds segments with
-different content are their windows dealt out one by one and refined to the full depth.
+Buckets with one suffix are finished early, at three depths. Each window of L bytes falls to the smallest q-gram
+identifier in it, so equal windows fall to equal identifiers, at the same distance; consecutive windows with the
+same one form a segment. (1) Segments are grouped by that first bucket; one that is alone is finished. (2) Segments with
+the same bytes are settled at once. Of each content, one segment goes on if its bucket also holds others: its windows are
+cut into blocks by their distance from the q-gram, and a block is grouped by the bytes that all its windows
+share; one that is alone is finished, and blocks with the same bytes are settled. (3) Only the windows of the
+other blocks are grouped one by one, by the bytes at both ends of their block.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from sparkset.llm.shared import keep, own_column, read_table
+from sparkset.llm.shared import keep, own_column, read_table, release
 
 LENGTH = 200
 #: Bytes of a text handled at once.
 CHUNK = 1 << 21
+#: Windows in a block.
+BLOCK = 32
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -50,18 +55,23 @@ def _byte_names() -> np.ndarray:
 _NAMES = _byte_names()
 
 
-def bucket_names(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, int]:
-    """Identifiers of the q-gram and of the ``length`` bytes that start at each position, and q = length / 8."""
+def bucket_names(data: np.ndarray, length: int = LENGTH) -> list[tuple[int, np.ndarray]]:
+    """(width, identifiers of the ``width`` bytes that start at each position), from the q-gram (q = length / 8) to ``length``."""
     q = length // 8
-    names, width = _NAMES[data], 1
-    while width < q:
-        step = min(width, q - width)
-        names, width = _mix(names[:-step], names[step:]), width + step
-    first = names
-    while width < length:
-        step = min(width, length - width)
-        names, width = _mix(names[:-step], names[step:]), width + step
-    return first, names, q
+    names, width, levels = _NAMES[data], 1, []
+    for goal in (q, length):
+        while width < goal:
+            step = min(width, goal - width)
+            names, width = _mix(names[:-step], names[step:]), width + step
+            if width >= q:
+                levels.append((width, names))
+    return levels or [(1, names)]
+
+
+def _name_of(levels: list[tuple[int, np.ndarray]], at: np.ndarray, width: int) -> np.ndarray:
+    """Names of the ``width`` bytes at the given positions, from two names of the widest level that fits."""
+    w, names = max((x for x in levels if x[0] <= width), key=lambda x: x[0])
+    return _mix(names[at], names[at + width - w])
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -73,27 +83,29 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
 
 
 def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Segments of one stretch of bytes: first bucket, name of the content, first window, windows, and whether windows in it may be equal."""
-    grams, whole, q = bucket_names(data, length)
+    """Segments of one stretch of bytes: first bucket, name of the content, and where it lies, packed."""
+    levels = bucket_names(data, length)
+    (q, grams), whole = levels[0], levels[-1][1]
     width = length - q + 1
     least = _sliding(grams, width, np.minimum)
     cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
     starts = np.concatenate(([0], cuts))
     counts = np.diff(np.concatenate((starts, [len(least)])))
-    if counts.max() > width:  # the smallest q-gram recurs: cut into segments as long as one q-gram can hold
-        pieces = -(-counts // width)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts, counts = np.repeat(starts, pieces) + nth * width, np.repeat(counts, pieces)
-        counts = np.minimum(counts - nth * width, width)
     padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
-    holders = np.flatnonzero(_sliding(padded, width, np.maximum) == grams)
+    holders = np.flatnonzero(_sliding(padded, width, np.maximum) == grams)  # q-grams that are smallest in some window
+    recur = np.concatenate(([False], (grams[holders[1:]] == grams[holders[:-1]]) & (np.diff(holders) <= width)))
+    run = np.cumsum(~recur) - 1  # each run of windows has one smallest q-gram, or one that recurs
     tied = np.zeros(len(starts), bool)
-    pairs = np.flatnonzero((grams[holders[1:]] == grams[holders[:-1]]) & (np.diff(holders) < width))
-    if len(pairs):
-        tied[np.searchsorted(starts, np.minimum(holders[pairs], len(least) - 1), "right") - 1] = True
-        tied[np.searchsorted(starts, np.maximum(holders[pairs + 1] - width + 1, 0), "right") - 1] = True
+    tied[run[recur]] = True
+    distances = holders[~recur] - starts
+    if counts.max() > width:  # cut runs into segments as long as one q-gram can hold
+        pieces = -(-counts // width)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts, counts, tied, distances = (np.repeat(x, pieces) for x in (starts, counts, tied, distances))
+        starts, counts = starts + nth * width, np.minimum(counts - nth * width, width)
+    distances = np.where(tied, 0, distances)  # not asked for: their windows stand alone
     content = _mix(whole[starts], whole[starts + counts - 1]) + counts.astype(np.uint64)
-    return least[starts], content, starts, counts, tied
+    return least[starts], content, _packed(starts, distances, counts, tied)
 
 
 def _stretches(n: int, length: int) -> Iterator[tuple[int, int]]:
@@ -102,8 +114,13 @@ def _stretches(n: int, length: int) -> Iterator[tuple[int, int]]:
         yield at, min(n, at + CHUNK + length - 1)
 
 
-def _packed(starts: np.ndarray, counts: np.ndarray, tied: np.ndarray | bool = False) -> np.ndarray:
-    return (starts.astype(np.int64) << 9 | counts.astype(np.int64)) << 1 | np.asarray(tied, np.int64)
+def _packed(starts, distances, counts, tied) -> np.ndarray:
+    """First window, distance from it to the q-gram, number of windows, and whether windows in the segment may be equal."""
+    return ((starts.astype(np.int64) << 9 | distances) << 9 | counts) << 1 | tied
+
+
+def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 19, at >> 10 & 511, at >> 1 & 511
 
 
 def _find_segments(length: int):
@@ -114,9 +131,9 @@ def _find_segments(length: int):
             for key, key2, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)):
                 data = np.frombuffer(text.as_py() or b"", np.uint8)
                 for a, b in _stretches(len(data), length):
-                    bucket, content, starts, counts, tied = segments(data[a:b], length)
-                    n = len(starts)
-                    out.append([bucket, content, np.full(n, key), np.full(n, key2), _packed(starts + a, counts, tied)])
+                    bucket, content, at = segments(data[a:b], length)
+                    n = len(at)
+                    out.append([bucket, content, np.full(n, key), np.full(n, key2), at + (a << 19)])
                     size += n
                 if size > 200_000:
                     yield _batch(out)
@@ -133,37 +150,64 @@ def _batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["bucket", "content", "k1", "k2", "at"])
 
 
-def _deal_windows(length: int):
-    """The windows of a text that have to be refined to the full depth."""
+def _spread(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item the numbers first, first + 1, ..., as many as counted; and the item of each."""
+    item = np.repeat(np.arange(len(counts)), counts)
+    return first[item] + np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts), item
+
+
+def _deal_blocks(length: int, block: int):
+    """The blocks of the segments that are refined: rows of BLOCKS."""
+    core = length - block + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        names = ["bucket", "name", "k1", "k2", "window"]
         for batch in batches:
             for row in range(batch.num_rows):
                 k1, k2, packed, spots = (batch.column(i)[row].as_py() for i in range(4))
-                data = np.frombuffer(unpack(packed), np.uint8)
-                spots = np.array([(s["at"], s["bucket"]) for s in spots], np.int64).reshape(-1, 2)
-                spots = spots[np.argsort(spots[:, 0])]
-                starts, counts = spots[:, 0] >> 10, spots[:, 0] >> 1 & 511
+                text = unpack(packed)
+                data = np.frombuffer(text, np.uint8)
+                spots = np.array([(s["at"], s["bucket"], s["tied"]) for s in spots], np.int64).reshape(-1, 3)
+                starts, distances, counts = _unpacked(spots[:, 0])
                 for a, b in _stretches(len(data), length):
                     near = (starts >= a) & (starts < a + CHUNK)
                     if not near.any():
                         continue
-                    _, whole, _ = bucket_names(data[a:b], length)
-                    n = counts[near]
-                    windows = np.repeat(starts[near], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(spots[near, 1], n)), pa.array(whole[windows - a].view(np.int64)), pa.array(np.full(len(windows), k1)), pa.array(np.full(len(windows), k2, np.int32)), pa.array(windows)],
-                        names=names,
-                    )
+                    levels = bucket_names(data[a:b], length)
+                    whole = levels[-1][1]
+                    single, several = near & (spots[:, 2] > 0), near & (spots[:, 2] == 0)
+                    # windows of buckets with ties stand alone
+                    at, item = _spread(starts[single], counts[single])
+                    zero = np.zeros(len(at), np.int64)
+                    yield _blocks(spots[single, 1][item], zero - 1, whole[at - a], whole[at - a], k1, k2, at, zero, zero, [b""] * len(at), [b""] * len(at))
+                    gram, high = (starts + distances)[several], distances[several]
+                    low = high - counts[several] + 1
+                    nth, item = _spread(low // block, high // block - low // block + 1)
+                    gram, low, high = gram[item], np.maximum(low[item], nth * block), np.minimum(high[item], nth * block + block - 1)
+                    first, last, inner = gram - high, gram - low, gram - nth * block
+                    names = _name_of(levels, inner - a, core)
+                    ends = _mix(whole[first - a], whole[last - a]) + (high - low).astype(np.uint64)
+                    left = [text[x:y] for x, y in zip(first.tolist(), inner.tolist())]
+                    right = [text[x:y] for x, y in zip((inner + core).tolist(), (last + length).tolist())]
+                    yield _blocks(spots[several, 1][item], nth * block, names, ends, k1, k2, gram, high, low, left, right)
 
     return run
 
 
+#: first bucket; least distance of a block's windows from the q-gram; name of the bytes they all have; name of all bytes; row;
+#: where the q-gram is; largest and least distance of those that there are; bytes before and after the common ones.
+BLOCKS = "bucket long, block int, core long, full long, k1 long, k2 int, gram long, high int, low int, left binary, right binary"
+
+
+def _blocks(bucket, block, core, full, k1, k2, gram, high, low, left, right) -> pa.RecordBatch:
+    n, short = len(gram), lambda x: pa.array(x.astype(np.int32))
+    columns = [pa.array(bucket), short(block), pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int32)), pa.array(gram), short(high), short(low), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+
 def _pack_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts travel compressed: they cross the network twice."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         packed = pa.array([pack(x.as_py() or b"") for x in batch.column(2)], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed, *batch.columns[3:]], names=batch.schema.names)
@@ -191,7 +235,7 @@ def _cut(id_col: str, length: int):
                     left.append(data)
                     continue
                 both = np.array(covered.as_py(), np.int64)
-                a, b = _runs(both >> 10, (both >> 10) + (both >> 1 & 511) - 1 + length)
+                a, b = _runs(both >> 9, (both >> 9) + (both & 511) - 1 + length)
                 edges = np.concatenate(([0], np.stack((a, b), 1).ravel(), [len(data)])).tolist()
                 removed.append(int((b - a).sum()))
                 spans.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())])
@@ -219,29 +263,44 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     long_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) if isinstance(kind, IntegralType) else F.xxhash64(id_col)
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     # rows are told apart by id and content, so that ids that occur twice do no harm
-    source = documents.select(long_id.alias("k1"), F.hash(text).alias("k2"), text.alias("bytes"), F.col(id_col).alias(own_column(documents.select(id_col), "row_id")))
-    row_id = source.columns[3]
-    keys = ["k1", "k2"]
-    parts = keep(source.where(F.octet_length("bytes") >= length).select(*keys, "bytes").mapInArrow(_find_segments(length), "bucket long, content long, k1 long, k2 int, at long"))
-    tied = F.max(F.col("at").bitwiseAND(F.lit(1))).alias("tied")
-
-    # first buckets that hold one segment are finished
-    open_buckets = keep(parts.groupBy("bucket").agg(F.count("*").alias("n"), tied).where("n > 1 or tied = 1").select("bucket"))
-    shared = keep(parts.join(open_buckets, "bucket"))
-    contents = keep(shared.groupBy("bucket", "content").agg(F.count("*").alias("n"), F.min(F.struct(*keys, "at")).alias("one"), tied))
-    repeated = shared.join(contents.where("n > 1").select("bucket", "content"), ["bucket", "content"]).select(*keys, "at")
-
-    # one segment of each content is refined where its bucket holds other content too
-    mixed = keep(contents.groupBy("bucket").agg(F.count("*").alias("n"), F.max("tied").alias("tied")).where("n > 1 or tied = 1").select("bucket"))
-    spots = contents.select("bucket", "one").join(mixed, "bucket").groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.at", "bucket")).alias("spots"))
+    row_id = own_column(documents.select(id_col), "row_id")
+    source = documents.select(long_id.alias("k1"), F.hash(text).alias("k2"), text.alias("bytes"), F.col(id_col).alias(row_id))
+    keys, tied = ["k1", "k2"], F.max(F.col("at").bitwiseAND(F.lit(1))).alias("tied")
+    run_of = lambda first, count: (first * 512 + count).alias("run")
+    segment = keep(source.where(F.octet_length("bytes") >= length).select(*keys, "bytes").mapInArrow(_find_segments(length), "bucket long, content long, k1 long, k2 int, at long"))
+
+    open_bucket = keep(segment.groupBy("bucket").agg(F.count("*").alias("n"), tied).where("n > 1 or tied = 1").select("bucket"))
+    shared = keep(segment.join(open_bucket, "bucket"))
+    release(segment)
+    content = keep(shared.groupBy("bucket", "content").agg(F.count("*").alias("n"), F.min(F.struct(*keys, "at")).alias("one"), tied))
+    settled = shared.join(content.where("n > 1").select("bucket", "content"), ["bucket", "content"])
+    settled = keep(settled.select(*keys, run_of(F.expr("at div 524288"), F.expr("at div 2 % 512"))))
+    release(shared)
+
+    mixed = keep(content.groupBy("bucket").agg(F.count("*").alias("n"), F.max("tied").alias("tied")).where("n > 1 or tied = 1").select("bucket", "tied"))
+    spots = content.select("bucket", "one").join(mixed, "bucket").groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.at", "bucket", "tied")).alias("spots"))
     packed = source.select(*keys, "bytes", row_id)
     packed = packed.mapInArrow(_pack_texts, packed.schema)
-    deep = packed.where(F.octet_length("bytes") > 0).select(*keys, "bytes").join(spots, keys)
-    windows = keep(deep.mapInArrow(_deal_windows(length), "bucket long, name long, k1 long, k2 int, window long"))
-    again = keep(windows.groupBy("bucket", "name").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "name"))
-    found = windows.join(again, ["bucket", "name"]).select(*keys, (F.col("window") * 1024 + 2).alias("at"))
-
-    covered = keep(repeated.unionAll(found).groupBy(*keys).agg(F.collect_list("at").alias("covered")))
+    block = keep(packed.select(*keys, "bytes").join(spots, keys).mapInArrow(_deal_blocks(length, max(1, min(BLOCK, length // 8))), BLOCKS))
+    release(content)
+    same = ["bucket", "block", "core"]
+    met = keep(block.groupBy(*same).agg(F.count("*").alias("n"), (F.min("full") == F.max("full")).alias("alike")).where("n > 1").select(*same, "alike"))
+    met_block = keep(block.join(met, same))
+    release(block)
+    alike = met_block.where("alike").select(*keys, run_of(F.col("gram") - F.col("high"), F.col("high") - F.col("low") + 1))
+
+    # a window takes from the left end as many bytes as its distance exceeds the block's least, and the rest from the right
+    window = met_block.where("not alike").select(*same, *keys, "gram", "left", "right", F.explode(F.sequence("low", "high")).alias("distance"))
+    before = F.col("distance") - F.col("block")
+    after = max(1, min(BLOCK, length // 8)) - 1 - before
+    ends = F.concat(F.substring("left", F.octet_length("left") - before + 1, before), F.substring("right", F.lit(1), after))
+    window = keep(window.select(*same, "distance", F.xxhash64(ends).alias("ends"), *keys, (F.col("gram") - F.col("distance")).alias("first")))
+    equal = keep(window.groupBy(*same, "distance", "ends").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    found = window.join(equal, [*same, "distance", "ends"]).select(*keys, run_of(F.col("first"), F.lit(1)))
+
+    covered = keep(settled.unionAll(alike).unionAll(found).groupBy(*keys).agg(F.collect_list("run").alias("covered")))
+    for table in (settled, met_block, window):
+        release(table)
     out = packed.join(covered, keys, "left").select(F.col(row_id).alias(id_col), "bytes", "covered")
     return out.mapInArrow(_cut(id_col, length), f"`{id_col}` {kind.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
