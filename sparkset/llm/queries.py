@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkset.llm import bpe, decontaminate, licenses, line_dedup, quality_rules, simhash, suffixes, url_filter
+from sparkset.llm import bpe, decontaminate, licenses, line_dedup, quality_knn, quality_rules, simhash, suffixes, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_quality_knn": quality_knn.op7_quality_knn,
     "op8_suffix_repeats": suffixes.op8_suffix_repeats,
     "op9_bpe_roundtrip": bpe.op9_bpe_roundtrip,
     "op10_simhash_components": simhash.op10_simhash_components,

@@ -205,10 +205,17 @@ def _blocks(bucket, block, core, full, k1, k2, gram, high, low, left, right) ->
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCKS.split(", ")])
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, which bound what a worker holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            yield batch.slice(at, 512)
+
+
 def _pack_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts travel compressed: they cross the network twice."""
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in _slices(batches):
         packed = pa.array([pack(x.as_py() or b"") for x in batch.column(2)], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed, *batch.columns[3:]], names=batch.schema.names)
 
@@ -224,7 +231,7 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _cut(id_col: str, length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, removed, spans, left = [], [], [], []
             for packed, covered in zip(batch.column(1), batch.column(2)):
                 data = unpack(packed.as_py())
