@@ -187,6 +187,20 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "score", "question_overlap", "answer_overlap")
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` whose text holds no test item; all columns stay. Rows are judged one by one, whatever their ids."""
+    at = documents.columns.index(text_col)
+    for index in _indexes(benchmark, item_col, item_text_col):
+        shared = documents.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not shared.value.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
+
+
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     """Test items found in all documents."""
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkset.llm import bpe, decontaminate, licenses, line_dedup, quality_knn, quality_rules, simhash, suffixes, url_filter
+from sparkset.llm import bpe, decontaminate, html_text, licenses, line_dedup, quality_knn, quality_rules, simhash, suffixes, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_main_text": html_text.op5_main_text,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_quality_knn": quality_knn.op7_quality_knn,
     "op8_suffix_repeats": suffixes.op8_suffix_repeats,
