@@ -1,10 +1,11 @@
 """Benchmark decontamination: a BM25 index of test items, asked by every passage of the training texts.
 
 The index holds the test items; a passage is the query, and BM25 adds up the impacts that its distinct terms have in
-an item. An item is retrieved if the sum reaches ``REACHED`` of the item's score for its own text. Items are stored
+an item. The threshold of an item is the least score that a passage has which verifies it: its score for its own text, less
+the largest impacts of as many terms as the shingles that may be missing can hide. Items are stored
 in blocks; of each term the index knows the largest impact in a block. As in block-max WAND, a passage skips a
-block if its terms' block maxima don't add up to the least score that an item of the block needs, and is skipped itself if
-the maxima over all blocks don't. Nothing above the threshold is lost.
+block if its terms' block maxima don't add up to the least score that an item of the block needs; items that need alike
+scores share a block. Nothing above the threshold is lost.
 
 Passages overlap by half and are at least twice as long as the longest item, so an item stands in some passage whole.
 Retrieved items are verified: the passage must hold the item's question and its answer (its last sentence), each
@@ -14,6 +15,7 @@ by the share of its five-word shingles.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,12 @@ from pyspark.sql import functions as F
 from sparkset.llm.shared import read_table
 
 K1, B = 1.2, 0.75
-#: Share of an item's own score at which it is retrieved.
-REACHED = 0.4
 #: Share of shingles that verifies a question or an answer.
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 16
+#: Block maxima that an index may hold; beyond it, blocks are larger.
+MOST_MAXIMA = 8_000_000
 PASSAGE = 96
 #: Bytes of items that are broadcast at once; more items are asked in several passes.
 MOST_BYTES = 16_000_000
@@ -53,6 +55,17 @@ def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+def most_missing(part: list[bytes]) -> int:
+    """Terms of a part that can be absent from a passage that verifies it.
+
+    A word is absent only if all shingles that hold it are. Runs of missing shingles hide no more words than they are,
+    and if a shingle occurs twice, no more than two terms for each.
+    """
+    distinct = len(shingles(part))
+    missing = int((1 - OVERLAP) * distinct + 1e-9) if len(part) >= SHINGLE else 0
+    return missing if distinct == max(1, len(part) - SHINGLE + 1) else 2 * missing
+
+
 class Index:
     """Inverted index of items. ``frequency`` and ``statistics`` describe all items, of which this index may hold a part."""
 
@@ -69,55 +82,71 @@ class Index:
                 idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
                 impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_length))
                 rows.append((self.term.setdefault(w, len(self.term)), item, impact))
-        t, item, impact = (np.array(x) for x in zip(*sorted(rows))) if rows else (np.empty(0, int),) * 3
         n_terms, n = len(self.term), len(items)
-        self.starts = np.searchsorted(t, np.arange(n_terms + 1))
-        self.item, self.impact = item.astype(np.int64), impact.astype(float)
-        self.needed = REACHED * np.bincount(self.item, self.impact, minlength=n) - 1e-9
-        self.needed[[not w for w in texts]] = np.inf
-        blocks = -(-n // BLOCK)
-        self.block_needed = np.array([self.needed[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)])
-        # largest impact of each term in each block that has it
-        key, first = np.unique(t * blocks + self.item // BLOCK, return_index=True)
-        self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else self.impact
-        self.block, owner = key % max(1, blocks), key // max(1, blocks)
-        self.block_starts = np.searchsorted(owner, np.arange(n_terms + 1))
-        self.most = np.array([self.block_max[a:b].max() for a, b in zip(self.block_starts[:-1], self.block_starts[1:])] + [0.0])  # last: unknown terms
-        self.least = self.needed.min() if n else np.inf
-        self.passage = max(PASSAGE, 2 * max(map(len, texts), default=0))
-
-    def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items that a passage with these distinct terms reaches, and their scores."""
-        of_blocks = np.concatenate([np.arange(self.block_starts[t], self.block_starts[t + 1]) for t in terms])
-        bound = np.bincount(self.block[of_blocks], self.block_max[of_blocks], minlength=len(self.block_needed))
-        alive = bound >= self.block_needed
-        if not alive.any():
-            return []
-        postings = np.concatenate([np.arange(self.starts[t], self.starts[t + 1]) for t in terms])
-        postings = postings[alive[self.item[postings] // BLOCK]]
-        score = np.bincount(self.item[postings], self.impact[postings], minlength=len(self.ids))
-        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= self.needed)]
+        t, item, impact = (np.array(x) for x in zip(*rows)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        by_item = np.searchsorted(item, np.arange(n + 1))  # rows are in order of items
+        needed = np.full(n, np.inf)
+        for i in range(n):
+            if texts[i]:
+                own = np.sort(impact[by_item[i] : by_item[i + 1]])
+                needed[i] = own[: max(0, len(own) - sum(map(most_missing, parts[i])))].sum() - 1e-9
+        # items that need alike scores share a block
+        self.blocks = max(1, min(-(-n // BLOCK), MOST_MAXIMA // (n_terms + 1)))
+        self.size = -(-n // self.blocks) if n else 1
+        place = np.empty(n, np.int64)
+        place[np.argsort(needed, kind="stable")] = np.arange(n)
+        self.at = np.argsort(place)
+        self.needed = np.full(self.blocks * self.size, np.inf)
+        self.needed[place] = needed
+        self.block_needed = self.needed.reshape(self.blocks, self.size).min(1)
+        block = place[item] // self.size if n else item
+        # largest impact of each term in each block; the last row is for unknown terms
+        self.maxima = np.zeros((n_terms + 1, self.blocks), np.float32)
+        np.maximum.at(self.maxima, (t, block), np.nextafter(impact.astype(np.float32), np.float32(np.inf)))
+        order = np.argsort(block * (n_terms + 1) + t, kind="stable")
+        self.key, self.place, self.impact = (block * (n_terms + 1) + t)[order], (place[item] % self.size if n else item)[order], impact[order]
+        self.kind = np.int16 if n_terms < 32_000 else np.int32
+        self.half = max(PASSAGE // 2, *map(len, texts), 1) if texts else PASSAGE // 2
+
+    def retrieve(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
+        """Items of a block that a passage with these distinct terms reaches, and their scores."""
+        keys = block * len(self.maxima) + terms
+        low = np.searchsorted(self.key, keys)
+        counts = np.searchsorted(self.key, keys, "right") - low
+        postings = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        score = np.bincount(self.place[postings], self.impact[postings], minlength=self.size)
+        return [(int(self.at[block * self.size + i]), float(score[i])) for i in np.flatnonzero(score >= self.needed[block * self.size :][: self.size])]
+
+    def alive(self, ids: np.ndarray) -> np.ndarray:
+        """Passages and blocks whose maxima reach what the block needs. A passage is two halves; a term counts once in it."""
+        n, halves = len(ids), -(-len(ids) // self.half)
+        order = np.argsort(ids, kind="stable")
+        before = np.full(n, -1)
+        again = ids[order[1:]] == ids[order[:-1]]
+        before[order[1:][again]] = order[:-1][again]
+        own = np.arange(n) // self.half * self.half
+        padded = np.zeros((halves * self.half, self.blocks), np.float32)
+        maxima = self.maxima[ids]
+        sums = []
+        for first in (before < own, before < own - self.half):
+            np.multiply(maxima, first[:, None], out=padded[:n])
+            sums.append(padded.reshape(halves, self.half, self.blocks).sum(1, dtype=np.float64))
+        bound = sums[0] if halves == 1 else sums[0][:-1] + sums[1][1:]
+        return np.argwhere(bound >= self.block_needed - 1e-4)
 
     def matches(self, text: str | None) -> dict[int, tuple[float, float, float]]:
         """Verified items of a text: item to score, share of the question and share of the answer, of its best passage."""
         words, found = terms_of(text), {}
-        unknown, known = len(self.term), self.term.get
-        ids = np.array([known(w, unknown) for w in words], np.int64)
-        step = self.passage // 2
-        edges = np.arange(0, max(1, len(words) - step), step)
-        upto = np.concatenate(([0.0], np.cumsum(self.most[ids])))
-        ends = np.minimum(edges + self.passage, len(words))
-        for at in edges[upto[ends] - upto[edges] >= self.least - 1e-6].tolist():
-            terms = np.unique(ids[at : at + self.passage])
-            if len(terms) and terms[-1] == unknown:
-                terms = terms[:-1]
-            if not len(terms) or self.most[terms].sum() < self.least:
-                continue
-            hits = self.retrieve(terms)
-            here = shingles_in(words[at : at + self.passage]) if hits else set()
-            for item, score in hits:
-                question, answer = self.parts[item]
-                q, a = share(question, here, words[at : at + self.passage]), share(answer, here, words[at : at + self.passage])
+        if not words or not self.ids:
+            return found
+        unknown = len(self.term)
+        ids = np.fromiter(map(self.term.get, words, repeat(unknown)), self.kind, len(words))
+        for passage, block in self.alive(ids).tolist():
+            at = slice(passage * self.half, (passage + 2) * self.half)
+            for item, score in self.retrieve(np.unique(ids[at]).astype(np.int64), block):
+                here, (question, answer) = words[at], self.parts[item]
+                held = shingles_in(here)
+                q, a = share(question, held, here), share(answer, held, here)
                 if q >= OVERLAP and a >= OVERLAP and (item not in found or (q + a, score) > (sum(found[item][1:]), found[item][0])):
                     found[item] = (score, q, a)
         return found
