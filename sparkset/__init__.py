@@ -1 +1,11 @@
 """sparkset: ordered machine-learning datasets on PySpark DataFrames."""
+
+from sparkset.functions.features import ClassLabel, Features, Sequence, Value
+from sparkset.operators.dataset import Dataset
+from sparkset.operators.splits import SplitDict
+from sparkset.session import build_session
+from sparkset.sources.formats import from_arrow, from_csv, from_json, from_parquet, from_text, parse
+from sparkset.sources.loader import load_dataset, load_from_file
+from sparkset.streaming.iterable import IterableDataset
+
+__all__ = ["ClassLabel", "Dataset", "Features", "IterableDataset", "Sequence", "SplitDict", "Value", "build_session", "from_arrow", "from_csv", "from_json", "from_parquet", "from_text", "load_dataset", "load_from_file", "parse"]
