@@ -307,7 +307,7 @@ class Dataset:
         """Rows where an expression is true, or where a Python function of the row is truthy (neither None nor False)."""
         if isinstance(predicate, Column):
             return self._with(self.frame.where(predicate))
-        return self._with(self._mapped(lambda row, _: [row] if predicate(row) not in (None, False) else [], self.frame.schema, index=False))
+        return self._with(self._mapped(lambda row, _: [row] if truthy(predicate(row)) else [], self.frame.schema, index=False))
 
     def map(self, function: Column | Mapping[str, Column] | Callable, schema: Any = None, batched: bool = False, batch_size: int = 1000) -> Dataset:
         """New rows from expressions, or from a Python function of a row, or of a batch (which may return any number of rows).
@@ -514,6 +514,11 @@ def _rank_in_group(frame: DataFrame, column: str) -> Column:
     return offset + F.row_number().over(Window.partitionBy(f"`{column}`", block).orderBy(POS)) - 1
 
 
+def truthy(x: Any) -> bool:
+    """Anything but None and False, as predicates mean it."""
+    return x is not None and x is not False
+
+
 def _visible(row: dict) -> dict:
     return {k: v for k, v in row.items() if not k.startswith("__")}
 

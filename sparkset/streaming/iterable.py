@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkset.operators.dataset import Dataset
+from sparkset.operators.dataset import Dataset, truthy
 from sparkset.plans.order import POS, Key
 
 
@@ -79,7 +79,7 @@ class IterableDataset:
             raise TypeError("expressions apply before Python functions")
         if self.stream is not None:
             raise TypeError("on a stream, filter takes expressions")
-        return self._step(lambda rows: (r for r in rows if predicate(r) not in (None, False)))
+        return self._step(lambda rows: (r for r in rows if truthy(predicate(r))))
 
     def skip(self, n: int) -> IterableDataset:
         if self.stream is not None:
