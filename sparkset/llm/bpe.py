@@ -17,12 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import read_table
+from sparkset.llm.shared import map_arrow, read_table, slices
 
 #: How the public byte-level vocabularies cut text before merging (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces remembered by a worker before it starts afresh; this bounds its memory.
-REMEMBERED = 400_000
+#: Pieces, and pairs of tokens, that a worker remembers before it starts afresh; this bounds its memory.
+REMEMBERED = 250_000
 #: Longer pieces are encoded but not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -92,7 +92,7 @@ class PrefixEncoder:
                 bound, a, a_undone = last_a[0], last_a[2], True
             else:
                 bound, b, a_undone = last_b[0], last_b[1], False
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) >= REMEMBERED:
             self.compatible.clear()
         self.compatible[left, right] = answer
         return answer
@@ -174,17 +174,15 @@ def encode_decode(documents: DataFrame, vocabulary_path: str, id_col: str = "doc
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # small slices bound what a worker holds
-                part = batch.slice(at, 256)
-                packed = [encoder.encode_packed(t.as_py() or "") for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(packed, pa.binary()), pa.array(map(encoder.decode_packed, packed), pa.string())],
-                    names=[id_col, "ids", "decoded"],
-                )
+        for part in slices(batches):
+            packed = [encoder.encode_packed(t.as_py() or "") for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(packed, pa.binary()), pa.array(map(encoder.decode_packed, packed), pa.string())],
+                names=[id_col, "ids", "decoded"],
+            )
 
     source = documents.select(F.col(id_col), F.col(text_col).cast("string"))
-    return source.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, ids binary, decoded string")
+    return map_arrow(source, run, f"`{id_col}` {kind.simpleString()}, ids binary, decoded string")
 
 
 def token_count(ids):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import read_table
+from sparkset.llm.shared import map_arrow, read_table, slices
 
 K1, B = 1.2, 0.75
 #: Share of shingles that verifies a question or an answer.
@@ -205,13 +205,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(d, index.ids[i], *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for i, m in sorted(index.matches(t.as_py()).items())]
                 if rows:
                     docs, ids, *values = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.types[0]), pa.array(ids), *[pa.array(v, pa.float64()) for v in values]], names=["doc", "item", "score", "question_overlap", "answer_overlap"])
 
-        found = source.mapInArrow(run, f"doc {kind}, item {item_kind}, score double, question_overlap double, answer_overlap double")
+        found = map_arrow(source, run, f"doc {kind}, item {item_kind}, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionAll(found)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "score", "question_overlap", "answer_overlap")
 
@@ -223,10 +223,10 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str
         shared = documents.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not shared.value.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = map_arrow(documents, run, documents.schema)
     return documents
 
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import own_column, read_table
+from sparkset.llm.shared import map_arrow, own_column, read_table
 
 #: Keys sampled to cut the order of pages into ranges.
 SAMPLE = 4000
@@ -214,7 +214,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``pages`` without its html, plus ``text``: the lines of the main text.
 
     Whole pages are read. Null and empty pages have an empty text; pages with a null url, or without ://, are of one nameless host.
-    A page alone on its host is read by its own marks. Repeated rows are neighbours of each other; null ids are carried along; a
+    A page alone on its host is read by its own marks, and so is one whose neighbours have the same lines: a copy tells nothing of the
+    site. Repeated rows stay; null ids are carried along; a
     column named text is replaced.
     """
     spark = pages.sparkSession
@@ -251,7 +252,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     packed.append(pack("\n".join(f"{k}{x}" for x, k in zip(lines, kinds)).encode("utf-8", "surrogatepass")))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(packed, pa.binary())], names=piece.schema.names)
 
-    lined = df.mapInArrow(read, schema)
+    lined = map_arrow(df, read, schema)
     here = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col(copy)))
     copies = F.array_compact(F.array(F.struct(F.lit(False).alias("ghost"), here.alias("part")), *[F.when(sent(t).isNotNull(), F.struct(F.lit(True).alias("ghost"), sent(t).alias("part"))) for t in (back, forth)]))
     dealt = lined.select(*[F.col(f"`{c}`") for c in carried], key, body, F.explode(copies).alias(copy)).select(*[F.col(f"`{c}`") for c in carried], key, body, F.col(f"{copy}.ghost").alias(copy), F.col(f"{copy}.part").alias(part))
@@ -279,7 +280,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             before = now = None
             for after in _with_end(rows()):
                 if now is not None and not now["ghost"]:
-                    near = [(_common_start(now["path"], x["path"]), -k, x["outside"]) for k, x in enumerate((before, after)) if x is not None and x["site"] == now["site"]]
+                    near = [(_common_start(now["path"], x["path"]), -k, x["outside"]) for k, x in enumerate((before, after)) if x is not None and x["site"] == now["site"] and x["outside"] != now["outside"]]
                     yield now, "\n".join(main_lines(now["lines"], now["kinds"], max(near)[2] if near else None))
                 before, now = now, after
 
@@ -292,7 +293,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if held:
             yield _rows_out(held, at_key, names)
 
-    return dealt.mapInArrow(difference, out_schema)
+    return map_arrow(dealt, difference, out_schema)
 
 
 def _with_end(rows: Iterable[dict]) -> Iterator[dict | None]:

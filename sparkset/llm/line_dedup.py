@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import keep, let, own_column, read_table, release
+from sparkset.llm.shared import keep, let, map_arrow, own_column, read_table, release, slices
 
 MIN_WORDS = 50
 
@@ -60,7 +60,7 @@ def winnow(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> tuple[np.n
 def _find_prints(min_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("name", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for key, key2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 (begin, end), counts, hashes = line_hashes(text.as_py())
@@ -100,14 +100,14 @@ def repeated_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """``k1`` (the id), ``k2`` (a hash of the text) and ``runs`` (first and last line of each later repeated run) of rows that have one."""
     kind = documents.schema[id_col].dataType.simpleString()
     source = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("k1"), _row_key(F.col(text_col)).alias("k2"), F.col(text_col).cast("string").alias("text"))
-    prints = keep(source.mapInArrow(_find_prints(min_words), f"print long, k1 {kind}, k2 long, around array<struct<name:long,first:long,last:long>>"))
+    prints = keep(map_arrow(source, _find_prints(min_words), f"print long, k1 {kind}, k2 long, around array<struct<name:long,first:long,last:long>>"))
     shared = keep(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
     window = keep(prints.join(shared, "print").select("k1", "k2", F.explode("around").alias("w")).select("w.name", "k1", "k2", "w.first", "w.last").distinct())
     release(prints)
     earliest = keep(window.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first")).alias("e")).where("n > 1").select("name", "e"))
     later = window.join(earliest, "name").where(F.struct("k1", "k2", "first") != F.col("e"))
     runs = later.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    found = keep(runs.mapInArrow(_merge_runs, runs.schema))
+    found = keep(map_arrow(runs, _merge_runs, runs.schema))
     release(window)
     return found
 
@@ -123,7 +123,8 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     carried = [c for c in documents.columns if c.lower() not in ("n_lines", "n_removed")]
     a, b, found = (own_column(documents, n) for n in ("k1_", "k2_", "runs_"))
     runs = repeated_runs(documents.select(id_col, text_col), id_col, text_col, min_words)
-    runs = runs.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("runs").alias(found))
+    # the runs grow with the documents: always a merge join, whatever their size is here
+    runs = runs.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("runs").alias(found)).hint("merge")
     df = documents.select(*[F.col(f"`{c}`") for c in carried])
     df = df.join(runs, (F.col(f"`{id_col}`") == F.col(a)) & (_row_key(F.col(f"`{text_col}`")) == F.col(b)), "left")
     text = F.col(f"`{text_col}`").cast("string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import keep, own_column, read_table
+from sparkset.llm.shared import keep, map_arrow, own_column, read_table, slices
 
 #: Labelled texts of each label that fit the model; beyond it, those with the smallest hashes of their ids.
 MOST_LABELLED = 2000
@@ -127,11 +127,11 @@ def fit(documents: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     chosen = F.broadcast(keep(chosen))  # 2 * most rows
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _shares_of(batch.column(1))], pa.binary())], names=["label", "shares"])
 
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
-    found = texts.select("label", "text").mapInArrow(run, "label int, shares binary").toArrow()
+    found = map_arrow(texts.select("label", "text"), run, "label int, shares binary").toArrow()
     shares = np.frombuffer(b"".join(x.as_py() for x in found.column("shares")), np.float32).reshape(-1, TERMS)
     order = np.lexsort((*shares.T[::97], found.column("label").to_numpy())) if len(shares) else []
     return Neighbours.fit(shares[order], found.column("label").to_numpy()[order].astype(np.float64))
@@ -149,13 +149,11 @@ def score(documents: DataFrame, model: Neighbours, id_col: str = "doc_id", text_
     schema = out.select("*", F.lit(0.0).alias(score_col)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                made = shared.value.score(_shares_of(part.column(part.num_columns - 1)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.float64())], names=[*part.schema.names[:-1], score_col])
+        for part in slices(batches, 512):
+            made = shared.value.score(_shares_of(part.column(part.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.float64())], names=[*part.schema.names[:-1], score_col])
 
-    return out.select("*", F.col(f"`{text_col}`").cast("string").alias(text)).mapInArrow(run, schema)
+    return map_arrow(out.select("*", F.col(f"`{text_col}`").cast("string").alias(text)), run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

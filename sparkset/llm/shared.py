@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Removes a query's shuffle files as it ends; nothing reads them again once its rows are a written table.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
 _kept: dict[str, SparkSession] = {}
 
 
@@ -84,6 +89,21 @@ def own_column(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with Arrow batches of ``BATCH_ROWS`` rows where the session has the default: whole texts are long rows."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, which bound what a Python worker holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def let(value, body):
     """``body(value)`` with the value computed once a row: the optimizer would else move it into lambdas that run for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkset.llm.components import connected_components
-from sparkset.llm.shared import keep, read_table
+from sparkset.llm.shared import keep, map_arrow, read_table, slices
 
 SHINGLE = 4
 SEED = 42
@@ -57,11 +57,11 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=[id_col, "fp"])
 
-    return documents.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return map_arrow(documents.select(F.col(id_col), F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, fp long")
 
 
 @cache
@@ -70,10 +70,11 @@ def table_masks(kept: int = 0, radius: int = RADIUS) -> tuple[int, ...]:
     free = [i for i in range(64) if not kept >> i & 1]
     vectors = (1 << radius + 1) - 1
     masks = []
+    # by steps of four, the first vectors dealt out span the space: each mask keeps half of 16 positions, and some of any 11
     for v in range(1, vectors + 1):
         mask = kept
         for k, i in enumerate(free):
-            mask |= ((k % vectors + 1 & v).bit_count() & 1) << i
+            mask |= ((k * 4 % vectors + 1 & v).bit_count() & 1) << i
         masks.append(mask)
     return tuple(masks)
 
@@ -177,7 +178,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` whose id is the first of their component; rows without an id stay."""
     marks = near_duplicates(documents.select(id_col, text_col), id_col, text_col)
-    first = keep(marks.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
+    first = keep(marks.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()).hint("merge")  # it grows with the documents
     return documents.join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(documents.where(F.col(id_col).isNull()))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from sparkset.llm.shared import keep, own_column, read_table, release
+from sparkset.llm.shared import keep, map_arrow, own_column, read_table, release, slices
 
 LENGTH = 200
 #: Bytes of a text handled at once.
@@ -108,10 +108,10 @@ def segments(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     return least[starts], content, _packed(starts, distances, counts, tied)
 
 
-def _stretches(n: int, length: int) -> Iterator[tuple[int, int]]:
+def _stretches(n: int, length: int, chunk: int) -> Iterator[tuple[int, int]]:
     """Windows of n bytes in chunks: each chunk has the bytes of its windows."""
-    for at in range(0, n - length + 1, CHUNK):
-        yield at, min(n, at + CHUNK + length - 1)
+    for at in range(0, n - length + 1, chunk):
+        yield at, min(n, at + chunk + length - 1)
 
 
 def _packed(starts, distances, counts, tied) -> np.ndarray:
@@ -123,14 +123,14 @@ def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 19, at >> 10 & 511, at >> 1 & 511
 
 
-def _find_segments(length: int):
+def _find_segments(length: int, chunk: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list[np.ndarray]] = []
             size = 0
             for key, key2, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)):
                 data = np.frombuffer(text.as_py() or b"", np.uint8)
-                for a, b in _stretches(len(data), length):
+                for a, b in _stretches(len(data), length, chunk):
                     bucket, content, at = segments(data[a:b], length)
                     n = len(at)
                     out.append([bucket, content, np.full(n, key), np.full(n, key2), at + (a << 19)])
@@ -156,21 +156,21 @@ def _spread(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first[item] + np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts), item
 
 
-def _deal_blocks(length: int, block: int):
+def _deal_blocks(length: int, block: int, chunk: int):
     """The blocks of the segments that are refined: rows of BLOCKS."""
     core = length - block + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in slices(batches):
             for row in range(batch.num_rows):
                 k1, k2, packed, spots = (batch.column(i)[row].as_py() for i in range(4))
                 text = unpack(packed)
                 data = np.frombuffer(text, np.uint8)
                 spots = np.array([(s["at"], s["bucket"], s["tied"]) for s in spots], np.int64).reshape(-1, 3)
                 starts, distances, counts = _unpacked(spots[:, 0])
-                for a, b in _stretches(len(data), length):
-                    near = (starts >= a) & (starts < a + CHUNK)
+                for a, b in _stretches(len(data), length, chunk):
+                    near = (starts >= a) & (starts < a + chunk)
                     if not near.any():
                         continue
                     levels = bucket_names(data[a:b], length)
@@ -205,17 +205,10 @@ def _blocks(bucket, block, core, full, k1, k2, gram, high, low, left, right) ->
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCKS.split(", ")])
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of a few rows, which bound what a worker holds."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            yield batch.slice(at, 512)
-
-
 def _pack_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts travel compressed: they cross the network twice."""
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in _slices(batches):
+    for batch in slices(batches):
         packed = pa.array([pack(x.as_py() or b"") for x in batch.column(2)], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed, *batch.columns[3:]], names=batch.schema.names)
 
@@ -231,7 +224,7 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _cut(id_col: str, length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in _slices(batches):
+        for batch in slices(batches):
             sizes, removed, spans, left = [], [], [], []
             for packed, covered in zip(batch.column(1), batch.column(2)):
                 data = unpack(packed.as_py())
@@ -255,14 +248,14 @@ def _cut(id_col: str, length: int):
     return run
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts elsewhere in the texts.
 
     Returns ``id_col``, ``n_bytes``, ``n_removed``, ``spans`` (array of the maximal removed runs: start and end
     byte) and ``kept`` (binary: the other bytes, which may no longer be UTF-8) of each row. Strings are judged on
     the input, overlapping ones count, and none crosses rows. Null texts count as empty; repeated rows repeat
     each other and lose their common strings; null ids are carried along; other columns are not read.
-    ``length`` must be from 8 to 511.
+    ``length`` must be from 8 to 511. ``chunk`` is how many windows of a text are handled at once; results don't depend on it.
     """
     if not 8 <= length <= 511:
         raise ValueError("length must be from 8 to 511")
@@ -274,7 +267,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     source = documents.select(long_id.alias("k1"), F.hash(text).alias("k2"), text.alias("bytes"), F.col(id_col).alias(row_id))
     keys, tied = ["k1", "k2"], F.max(F.col("at").bitwiseAND(F.lit(1))).alias("tied")
     run_of = lambda first, count: (first * 512 + count).alias("run")
-    segment = keep(source.where(F.octet_length("bytes") >= length).select(*keys, "bytes").mapInArrow(_find_segments(length), "bucket long, content long, k1 long, k2 int, at long"))
+    segment = keep(map_arrow(source.where(F.octet_length("bytes") >= length).select(*keys, "bytes"), _find_segments(length, chunk), "bucket long, content long, k1 long, k2 int, at long"))
 
     open_bucket = keep(segment.groupBy("bucket").agg(F.count("*").alias("n"), tied).where("n > 1 or tied = 1").select("bucket"))
     shared = keep(segment.join(open_bucket, "bucket"))
@@ -287,8 +280,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = keep(content.groupBy("bucket").agg(F.count("*").alias("n"), F.max("tied").alias("tied")).where("n > 1 or tied = 1").select("bucket", "tied"))
     spots = content.select("bucket", "one").join(mixed, "bucket").groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.at", "bucket", "tied")).alias("spots"))
     packed = source.select(*keys, "bytes", row_id)
-    packed = packed.mapInArrow(_pack_texts, packed.schema)
-    block = keep(packed.select(*keys, "bytes").join(spots, keys).mapInArrow(_deal_blocks(length, max(1, min(BLOCK, length // 8))), BLOCKS))
+    packed = map_arrow(packed, _pack_texts, packed.schema)
+    block = keep(map_arrow(packed.select(*keys, "bytes").join(spots, keys), _deal_blocks(length, max(1, min(BLOCK, length // 8)), chunk), BLOCKS))
     release(content)
     same = ["bucket", "block", "core"]
     met = keep(block.groupBy(*same).agg(F.count("*").alias("n"), (F.min("full") == F.max("full")).alias("alike")).where("n > 1").select(*same, "alike"))
@@ -309,7 +302,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     for table in (settled, met_block, window):
         release(table)
     out = packed.join(covered, keys, "left").select(F.col(row_id).alias(id_col), "bytes", "covered")
-    return out.mapInArrow(_cut(id_col, length), f"`{id_col}` {kind.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return map_arrow(out, _cut(id_col, length), f"`{id_col}` {kind.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op8_suffix_repeats(spark, sf_dir: str) -> DataFrame:
