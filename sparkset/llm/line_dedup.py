@@ -137,3 +137,22 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents without later repeated runs."""
     return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _oracle() -> str:
+    return rf"""
+WITH l AS (SELECT doc_id, i - 1 AS n, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+u AS (SELECT doc_id, n, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+r AS (SELECT doc_id, n, len(w) AS c, array_to_string(w, ' ') AS s, row_number() OVER o AS k, sum(len(w)) OVER o AS upto FROM u WHERE len(w) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+p AS (SELECT a.doc_id, a.k AS a, b.k AS b FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.c >= {MIN_WORDS}),
+w AS (SELECT doc_id, a, min(b) AS b FROM p GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM p GROUP BY doc_id, b),
+named AS (SELECT w.doc_id, a, b, string_agg(s, chr(10) ORDER BY k) AS name FROM w JOIN r ON r.doc_id = w.doc_id AND k BETWEEN a AND b GROUP BY w.doc_id, a, b),
+later AS (SELECT doc_id, a, b FROM named QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id, a) > 1),
+gone AS (SELECT DISTINCT r.doc_id, k FROM later JOIN r ON r.doc_id = later.doc_id AND k BETWEEN a AND b),
+state AS (SELECT l.doc_id, l.n, l.line, max(r.k) OVER (PARTITION BY l.doc_id ORDER BY l.n) AS k FROM l LEFT JOIN r ON l.doc_id = r.doc_id AND l.n = r.n),
+marked AS (SELECT state.*, gone.k IS NOT NULL AS removed FROM state LEFT JOIN gone ON state.doc_id = gone.doc_id AND state.k = gone.k),
+made AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT removed), '') AS text, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed FROM marked GROUP BY doc_id)
+SELECT d.doc_id, made.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN made ON d.doc_id = made.doc_id"""
+
+
+ORACLE = _oracle()

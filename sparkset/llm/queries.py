@@ -21,4 +21,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_license_scan": licenses.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op8_suffix_repeats": suffixes.ORACLE,
 }

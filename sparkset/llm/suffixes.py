@@ -310,3 +310,16 @@ def op8_suffix_repeats(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(b[i:i + {LENGTH - 1}]) AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS i FROM d)),
+m AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(CASE WHEN i > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM m)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH - 1} AS z FROM g GROUP BY doc_id, run),
+p AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS x, a - 1 AS y FROM r UNION ALL SELECT d.doc_id, coalesce(max(z), 0) + 1, max(octet_length(b)) FROM d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id),
+k AS (SELECT p.doc_id, string_agg(CASE WHEN y >= x THEN hex(b[x:y]) ELSE '' END, '' ORDER BY x) AS h FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id),
+n AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN k ON d.doc_id = k.doc_id LEFT JOIN n ON d.doc_id = n.doc_id"""
