@@ -482,6 +482,14 @@ class Dataset:
     def drop_index(self, column: str) -> Dataset:
         return dataclasses.replace(self, indices={k: v for k, v in self.indices.items() if k != column})
 
+    def cached(self, cache, *key: Any) -> Dataset:
+        """The same rows from a ``TableCache``, written there if they are not yet: under the fingerprint, or under a key of one's own."""
+        from sparkset.plans.fingerprint import combine, generate
+
+        name = generate("cached", key) if key else combine(self.fingerprint)
+        d = self.dense()
+        return d._with(cache.cached(name, lambda: d.frame), n=d.n, is_dense=True)
+
     @property
     def fingerprint(self) -> str:
         from sparkset.plans.fingerprint import of_frame

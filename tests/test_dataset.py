@@ -169,5 +169,28 @@ def test_cache(spark, tmp_path):
     assert cache.get("k") is None
     assert cache.cached("k", lambda: spark.range(3)).count() == 3 and cache.cached("k", lambda: spark.range(9)).count() == 3
     assert cache.list() == ["k"] and cache.stats()["entries"] == 1
+    d = Dataset.from_frame(spark.range(5), "id")
+    assert [r["id"] for r in d.skip(2).cached(cache).to_list()] == [2, 3, 4] and len(d.skip(2).cached(cache, "own", 1)) == 3
+    cache.invalidate("k")
+    assert len(cache.list()) == 2
     cache.max_bytes = 0
-    assert cache.cleanup() == ["k"] and cache.list() == []
+    assert len(cache.cleanup()) == 2 and cache.list() == []
+
+
+def test_images_without_a_decoder(spark):
+    from sparkset.functions import media
+
+    df = spark.createDataFrame([(bytearray(b"no image"), None)], "bytes binary, path string").select(F.struct("bytes", "path").alias("image"))
+    made = media.decode_or_keep(df, "image").first()
+    assert made["image"]["bytes"] == b"no image" and (made["image_decoded"] is None or made["image_decoded"]["height"] is None)
+    with pytest.raises(ValueError):
+        media.decode_image(F.col("image.bytes"), "CMYK")
+
+
+def test_plans_scale(spark):
+    """Positions come without a single-task window, and a top-k without a full sort."""
+    d = Dataset.from_frame(spark.range(1000), "id").sort("id", "desc")
+    plan = lambda x: x.frame._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan(d.take(5))
+    for made in (d.skip(5), d.shard(4, 1), d.shuffle(1), d.unique("id")):
+        assert "SinglePartition" not in plan(made) and "Window" not in plan(made)
