@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import glob
 import os
 import tempfile
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
@@ -67,6 +67,22 @@ def dataset_card(d: Dataset, repo: str) -> str:
     return f"---\nlicense: {d.metadata.get('license', 'unknown')}\n---\n\n# {repo}\n\nRows: {len(d)}\n\n## Columns\n\n{columns}\n"
 
 
+def _shards(d: Dataset, folder: str, rows: int) -> list[str]:
+    """Parquet files of so many rows, written by the executors to the folder they share and copied to one of the driver's."""
+    spark = d.spark
+    shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{folder}").rstrip("/")
+    path = f"{shared}/sparkset-push-{uuid.uuid4().hex}"
+    to_parquet(d, path, max_rows=rows)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for f in sorted(x.getPath().toString() for x in fs.listStatus(target) if x.getPath().getName().startswith("part-")):
+        out.append(f"{folder}/{os.path.basename(f)}")
+        fs.copyToLocalFile(False, spark._jvm.org.apache.hadoop.fs.Path(f), spark._jvm.org.apache.hadoop.fs.Path(f"file://{out[-1]}"), True)
+    fs.delete(target, True)
+    return out
+
+
 def push(d: Dataset | SplitDict, repo: str, client: Client, config: str = "default", split: str = "train", private: bool = False, max_shard_bytes: int = 500 * 1024 * 1024) -> list[str]:
     """Write Parquet shards with Spark, upload four at a time, and add a card. Returns the paths."""
     if isinstance(d, SplitDict):
@@ -81,8 +97,7 @@ def push(d: Dataset | SplitDict, repo: str, client: Client, config: str = "defau
         return done
     client.create_repo(repo, private)
     with tempfile.TemporaryDirectory() as folder:
-        to_parquet(d, f"file://{folder}/shards", max_rows=shard_rows(d, max_shard_bytes))
-        files = sorted(glob.glob(f"{folder}/shards/part-*.parquet"))
+        files = _shards(d, folder, shard_rows(d, max_shard_bytes))
         names = [shard_name(config, split, i, len(files)) for i in range(len(files))]
         with ThreadPoolExecutor(UPLOADS) as pool:
             list(pool.map(lambda x: client.upload(repo, *x), zip(names, files)))
