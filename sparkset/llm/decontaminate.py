@@ -231,5 +231,34 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
-    """Test items found in all documents."""
-    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    """Test items found in all documents; figures to six digits."""
+    found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
+
+
+def _oracle() -> str:
+    quoted = _PUNCTUATION.decode().replace("'", "''")
+    terms = lambda c: f"list_filter(string_split_regex(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{quoted}', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return rf"""
+WITH i AS (SELECT item_id, trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body, {terms("coalesce(text, '')")} AS w FROM benchmark),
+c AS (SELECT *, substr(body, 1, greatest(len(body) - 1, 0)) AS head FROM i),
+qa AS (SELECT item_id, CASE WHEN regexp_matches(head, '(?s)(\. |\? |\n)') THEN regexp_extract(head, '(?s)^(.*)(?:\. |\? |\n)', 1) END AS g, body FROM c),
+part AS (SELECT item_id, {terms("coalesce(g, body)")} AS q, {terms("CASE WHEN g IS NULL THEN '' ELSE substr(body, len(g) + 2) END")} AS a FROM qa),
+half AS (SELECT item_id, 'q' AS kind, CASE WHEN len(q) > 0 THEN q ELSE a END AS w FROM part UNION ALL SELECT item_id, 'a', CASE WHEN len(q) > 0 THEN a ELSE [] END FROM part),
+ps AS (SELECT DISTINCT item_id, kind, l, array_to_string(w[j:j + l - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS j FROM (SELECT *, least({SHINGLE}, len(w)) AS l FROM half WHERE len(w) > 0))),
+pn AS (SELECT item_id, kind, count(*) AS n FROM ps GROUP BY ALL),
+stats AS (SELECT count(*) AS items, greatest(1, avg(len(w))) AS mean, greatest({PASSAGE // 2}, max(len(w))) AS half FROM i),
+it AS (SELECT item_id, t, count(*) AS tf, any_value(n) AS n FROM (SELECT item_id, len(w) AS n, unnest(w) AS t FROM i) GROUP BY ALL),
+impact AS (SELECT item_id, t, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * n / mean)) AS v FROM it JOIN (SELECT t, count(*) AS df FROM it GROUP BY t) USING (t), stats),
+d AS (SELECT doc_id, {terms("coalesce(text, '')")} AS w, half FROM documents, stats),
+p AS (SELECT doc_id, k, w[k * half + 1:(k + 2) * half] AS w FROM (SELECT *, unnest(range(0, greatest(1, (len(w) + half - 1) // half - 1))) AS k FROM d WHERE len(w) > 0)),
+pg AS (SELECT DISTINCT doc_id, k, l, array_to_string(w[j:j + l - 1], ' ') AS s FROM (SELECT doc_id, k, w, l, unnest(range(1, len(w) - l + 2)) AS j FROM p, (SELECT DISTINCT l FROM ps))),
+m AS (SELECT doc_id, k, item_id, kind, count(*) AS n FROM pg JOIN ps USING (l, s) GROUP BY ALL),
+share AS (SELECT doc_id, k, m.item_id, m.kind, m.n / pn.n AS share FROM m JOIN pn ON m.item_id = pn.item_id AND m.kind = pn.kind),
+ok AS (SELECT q.doc_id, q.k, q.item_id, q.share AS q, CASE WHEN pn.n IS NULL THEN 1.0 ELSE coalesce(a.share, 0) END AS a FROM share q LEFT JOIN pn ON pn.item_id = q.item_id AND pn.kind = 'a'
+       LEFT JOIN share a ON a.doc_id = q.doc_id AND a.k = q.k AND a.item_id = q.item_id AND a.kind = 'a' WHERE q.kind = 'q' AND q.share >= {OVERLAP}),
+scored AS (SELECT ok.doc_id, ok.k, ok.item_id, any_value(q) AS q, any_value(a) AS a, sum(v) AS score FROM ok JOIN (SELECT DISTINCT doc_id, k, unnest(w) AS t FROM p) t ON ok.doc_id = t.doc_id AND ok.k = t.k JOIN impact ON impact.item_id = ok.item_id AND impact.t = t.t WHERE a >= {OVERLAP} GROUP BY ALL)
+SELECT doc_id, item_id, round(score, 6) AS score, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY q + a DESC, score DESC, k) = 1"""
+
+
+ORACLE = _oracle()

@@ -22,5 +22,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_license_scan": licenses.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op6_decontamination": decontaminate.ORACLE,
     "op8_suffix_repeats": suffixes.ORACLE,
 }
