@@ -439,7 +439,7 @@ def dialogue_text_round_trip(spark, sf_dir):
     return back.select("conv_id", conversations.user_prompt(F.col("c")).alias("prompt"))
 
 
-@_register("SELECT doc_id, CASE WHEN toxic = 1 THEN 0.0 WHEN quality = 1 THEN 1.0 ELSE 0.5 END AS score FROM labels")
+@_register("SELECT doc_id, CAST(CASE WHEN toxic = 1 THEN 0.0 WHEN quality = 1 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS score FROM labels")
 def preference_score(spark, sf_dir):
     name = F.when(F.col("toxic") == 1, " Rejected").when(F.col("quality") == 1, "MODEL_A ").otherwise("tie")
     return _table(spark, sf_dir, "labels").select("doc_id", preference.label_score(name).alias("score"))
