@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import ahocorasick
 import pyarrow as pa
@@ -21,8 +22,8 @@ from sparkset.llm.shared import map_arrow, read_table, slices
 
 #: How the public byte-level vocabularies cut text before merging (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces, and pairs of tokens, that a worker remembers before it starts afresh; this bounds its memory.
-REMEMBERED = 250_000
+#: Pieces, and pairs of tokens, that a worker adds before it forgets those not met since it last did; this bounds its memory.
+REMEMBERED = 200_000
 #: Longer pieces are encoded but not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -55,6 +56,7 @@ class PrefixEncoder:
             self.merge_rank[left, right] = rank
             self.made_from.setdefault(whole, (rank, left, right))
         self.compatible: dict[tuple[int, int], bool] = {}
+        self.old_compatible: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, i in self.id_of.items():
             if len(token) == 1 or i in self.made_from:
@@ -66,6 +68,7 @@ class PrefixEncoder:
         self.added_pattern = regex.compile(f"({named})") if named else None
         self.find_pieces = regex.compile(PIECES).findall
         self.packed: dict[str, bytes] = {}
+        self.old_packed: dict[str, bytes] = {}
 
     def are_compatible(self, left: int, right: int) -> bool:
         """True if BPE leaves the border between the two tokens in place.
@@ -73,29 +76,32 @@ class PrefixEncoder:
         The tokens are taken apart, latest merge first. Whenever the tokens at the border could merge, that merge
         must come no earlier than the one just undone, which in BPE had then been made already.
         """
-        known = self.compatible.get((left, right))
-        if known is not None:
-            return known
+        pair = left, right
+        known = self.compatible.get(pair)
+        if known is None:
+            known = self.old_compatible.get(pair)
+            if known is None:
+                known = self._border_stands(left, right)
+            if len(self.compatible) >= REMEMBERED:
+                self.compatible, self.old_compatible = {}, self.compatible
+            self.compatible[pair] = known
+        return known
+
+    def _border_stands(self, left: int, right: int) -> bool:
         a, b, bound, a_undone = left, right, len(self.merge_rank), False
         while True:
             rank = self.merge_rank.get((a, b))
             # at equal rank the leftmost pair merges first: the crossing one stands right of what a lost, left of what b lost
             if rank is not None and (rank < bound or rank == bound and not a_undone):
-                answer = False
-                break
+                return False
             last_a, last_b = self.made_from.get(a, (-1, 0, 0)), self.made_from.get(b, (-1, 0, 0))
             if last_a[0] < 0 and last_b[0] < 0:
-                answer = True
-                break
+                return True
             # of two merges of one rank, the right one was made last
             if last_a[0] > last_b[0]:
                 bound, a, a_undone = last_a[0], last_a[2], True
             else:
                 bound, b, a_undone = last_b[0], last_b[1], False
-        if len(self.compatible) >= REMEMBERED:
-            self.compatible.clear()
-        self.compatible[left, right] = answer
-        return answer
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.id_of.get(piece)
@@ -104,19 +110,14 @@ class PrefixEncoder:
         n = len(piece)
         last: list[int] = [-1] * (n + 1)
         start: list[int] = [0] * (n + 1)
-        compatible, test = self.compatible.get, self.are_compatible
+        test = self.are_compatible
         for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
             end += 1
             if last[end] >= 0:
                 continue
             before = end - length
-            if before:
-                pair = (last[before], token)
-                fits = compatible(pair)
-                if fits is None:
-                    fits = test(*pair)
-                if not fits:
-                    continue
+            if before and not test(last[before], token):
+                continue
             last[end], start[end] = token, before
         ids = []
         while n:
@@ -126,21 +127,24 @@ class PrefixEncoder:
         return ids
 
     def _packed_piece(self, piece: str) -> bytes:
-        found = b"".join(i.to_bytes(4, "little") for i in self.encode_piece(piece.encode()))
+        found = self.old_packed.get(piece)
+        if found is None:
+            ids = self.encode_piece(piece.encode())
+            found = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self.packed) >= REMEMBERED:
-                self.packed.clear()
+                self.packed, self.old_packed = {}, self.packed
             self.packed[piece] = found
         return found
 
     def encode_packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        known, make, out = self.packed.get, self._packed_piece, []
+        make, out = self._packed_piece, []
         for k, part in enumerate(self.added_pattern.split(text) if self.added_pattern else [text]):
             if k % 2:
                 out.append(self.added[part].to_bytes(4, "little"))
             else:
-                out += [known(p) or make(p) for p in self.find_pieces(part)]
+                out += [self.packed.get(p) or make(p) for p in self.find_pieces(part)]
         return b"".join(out)
 
     def decode_packed(self, packed: bytes) -> str:
