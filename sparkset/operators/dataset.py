@@ -19,6 +19,8 @@ from sparkset.operators import allocate
 from sparkset.plans.order import POS, Key, densify, from_parquet_files, hidden, sort_exprs, term_order
 
 RowFunction = Callable[[dict], Any]
+#: Rows whose permutation the driver may hold (8 bytes each).
+MOST_PERMUTED = 500_000_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -41,6 +43,7 @@ class Dataset:
     n: int | None = None
     is_dense: bool = False
     indices: Mapping[str, Any] = dataclasses.field(default_factory=dict)
+    held: tuple[DataFrame, ...] = ()
 
     # -- making -------------------------------------------------------------------------------------------------
 
@@ -117,8 +120,13 @@ class Dataset:
     def dense(self) -> Dataset:
         if self.is_dense:
             return self
-        frame, n = densify(self.frame, self.order)
-        return dataclasses.replace(self, frame=frame, order=(Key(POS),), n=n, is_dense=True)
+        frame, n, held = densify(self.frame, self.order)
+        return dataclasses.replace(self, frame=frame, order=(Key(POS),), n=n, is_dense=True, held=(*self.held, held))
+
+    def release(self) -> None:
+        """Free what was persisted to number the rows of this dataset and of those it comes from; they still work, but number anew."""
+        for frame in self.held:
+            frame.unpersist()
 
     def _counted(self) -> Dataset:
         d = self.dense()
@@ -222,7 +230,7 @@ class Dataset:
         """Rows in the order asked for; repeats repeat, negative indices count from the end, others out of range are dropped."""
         d = self._counted()
         at = [p for i in indices if (p := allocate.resolve_index(int(i), d.n)) is not None]
-        wanted = self.spark.createDataFrame([(p, k) for k, p in enumerate(at)], f"{POS} long, __out long")
+        wanted = _positions(self.spark, np.array(at, np.int64), np.arange(len(at)))
         frame = d.frame.join(wanted, POS).drop(POS).withColumnRenamed("__out", POS)
         return d._with(frame, n=len(at), is_dense=True)
 
@@ -417,12 +425,10 @@ class Dataset:
             d = self.dense()
             seed = random.getrandbits(62) if seed is None else seed
             return d._with(d.frame.withColumn("__r", F.xxhash64(F.col(POS), F.lit(seed))), (Key("__r"), Key(POS)), n=d.n)
-        import pandas as pd
-
         d = self._counted()
-        to = np.empty(d.n, np.int64)
-        to[np.random.Generator(np.random.PCG64(seed)).permutation(d.n)] = np.arange(d.n)
-        table = self.spark.createDataFrame(pd.DataFrame({POS: np.arange(d.n), "__out": to}), f"{POS} long, __out long")
+        if d.n > MOST_PERMUTED:
+            raise ValueError(f"a permutation of {d.n} rows does not fit in the driver; use generator='hash'")
+        table = _positions(self.spark, np.random.Generator(np.random.PCG64(seed)).permutation(d.n), np.arange(d.n))
         return d._with(d.frame.join(table, POS).drop(POS).withColumnRenamed("__out", POS), n=d.n, is_dense=True)
 
     def train_test_split(self, test_size: float | int | None = 0.25, train_size: float | int | None = None, stratify_by: str | None = None, seed: int | None = None, shuffle: bool = True) -> dict[str, Dataset]:
@@ -522,6 +528,13 @@ def _rank_in_group(frame: DataFrame, column: str) -> Column:
     return offset + F.row_number().over(Window.partitionBy(f"`{column}`", block).orderBy(POS)) - 1
 
 
+def _positions(spark: SparkSession, given: np.ndarray, out: np.ndarray) -> DataFrame:
+    """A table of positions and where their rows go, by Arrow."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({POS: pa.array(given, pa.int64()), "__out": pa.array(out, pa.int64())}))
+
+
 def truthy(x: Any) -> bool:
     """Anything but None and False, as predicates mean it."""
     return x is not None and x is not False

@@ -65,8 +65,8 @@ def from_parquet_files(df: DataFrame) -> DataFrame:
     return at.join(files, "__file").withColumn(POS, F.col("__offset") + F.col("__row")).drop("__file", "__row", "__offset")
 
 
-def densify(df: DataFrame, order: tuple[Key, ...]) -> tuple[DataFrame, int]:
-    """Replace the order by a dense position 0..n-1; also the number of rows.
+def densify(df: DataFrame, order: tuple[Key, ...]) -> tuple[DataFrame, int, DataFrame]:
+    """Replace the order by a dense position 0..n-1; also the number of rows, and the persisted frame.
 
     The rows are range-partitioned and sorted once and persisted; a second job counts each partition, and a row's position
     is its place in the partition plus the rows of those before. Nothing passes through a single task.
@@ -83,4 +83,4 @@ def densify(df: DataFrame, order: tuple[Key, ...]) -> tuple[DataFrame, int]:
         offsets.append(total)
         total += counts.get(part, 0)
     start = F.element_at(F.array(*map(F.lit, offsets or [0])), F.col("__part") + 1)
-    return placed.withColumn(POS, (start + F.col("__row")).cast("long")).drop("__part", "__row"), total
+    return placed.withColumn(POS, (start + F.col("__row")).cast("long")).drop("__part", "__row"), total, placed

@@ -175,5 +175,6 @@ class IterableDataset:
         def numbered(df: DataFrame, epoch: int) -> None:
             d = Dataset.from_frame(df).dense()
             sink(d.frame.withColumn("batch", F.floor(F.col(POS) / size)).drop(POS), epoch)
+            d.release()
 
         return self.start(numbered, checkpoint)
