@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import map_arrow, read_table, slices
+from sparkset.llm.shared import map_arrow, read_texts, slices
 
 #: How the public byte-level vocabularies cut text before merging (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -197,7 +197,7 @@ def op9_bpe_roundtrip(spark, sf_dir: str) -> DataFrame:
     """Digests of ids and decoded texts of all documents."""
     import public_tokenizers
 
-    coded = encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    coded = encode_decode(read_texts(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
         "doc_id",
         token_count(F.col("ids")).alias("n_tokens"),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import map_arrow, read_table, slices
+from sparkset.llm.shared import map_arrow, read_table, read_texts, slices
 
 K1, B = 1.2, 0.75
 #: Share of shingles that verifies a question or an answer.
@@ -232,7 +232,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     """Test items found in all documents; figures to six digits."""
-    found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = contaminated(read_texts(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
 
 

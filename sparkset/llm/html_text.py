@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import map_arrow, own_column, read_table
+from sparkset.llm.shared import map_arrow, own_column, read_texts
 
 #: Keys sampled to cut the order of pages into ranges.
 SAMPLE = 4000
@@ -309,5 +309,5 @@ def _rows_out(held: list[tuple[dict, str]], n: int, names: list[str]) -> pa.Reco
 
 def op5_main_text(spark, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
-    text = extract(read_table(spark, sf_dir, "pages"))
+    text = extract(read_texts(spark, sf_dir, "pages"))
     return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import keep, let, own_column, read_table
+from sparkset.llm.shared import keep, let, own_column, read_texts
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -132,7 +132,7 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, i
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licenses found in all documents."""
-    return scan(read_table(spark, sf_dir, "documents"))
+    return scan(read_texts(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import keep, let, map_arrow, own_column, read_table, release, slices
+from sparkset.llm.shared import keep, let, map_arrow, own_column, read_texts, release, slices
 
 MIN_WORDS = 50
 
@@ -136,7 +136,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents without later repeated runs."""
-    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(read_texts(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _oracle() -> str:

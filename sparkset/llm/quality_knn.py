@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import keep, map_arrow, own_column, read_table, slices
+from sparkset.llm.shared import keep, map_arrow, own_column, read_table, read_texts, slices
 
 #: Labelled texts of each label that fit the model; beyond it, those with the smallest hashes of their ids.
 MOST_LABELLED = 2000
@@ -163,7 +163,7 @@ def held_out(id_col: str = "doc_id"):
 
 def op7_quality_knn(spark, sf_dir: str) -> DataFrame:
     """Score of all documents."""
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = read_texts(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(documents, read_table(spark, sf_dir, "labels").where(~held_out()))
     scored = score(documents, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

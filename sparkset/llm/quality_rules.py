@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import WORD_BREAK, keep, read_table, words
+from sparkset.llm.shared import WORD_BREAK, keep, read_texts, words
 
 #: Words in a window that may repeat within a text.
 WINDOW = 5
@@ -132,7 +132,7 @@ def apply_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict of all documents."""
-    return apply_rules(read_table(spark, sf_dir, "documents"))
+    return apply_rules(read_texts(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:

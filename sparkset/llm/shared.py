@@ -27,6 +27,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts. One file may be one row group, which only one task reads: its rows are dealt to all cores first."""
+    df = read_table(spark, sf_dir, name)
+    return df.repartition(spark.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. A temporary one is set only where the session names none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _context_dir(spark)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkset.llm.components import connected_components
-from sparkset.llm.shared import keep, map_arrow, read_table, slices
+from sparkset.llm.shared import keep, map_arrow, read_texts, slices
 
 SHINGLE = 4
 SEED = 42
@@ -184,4 +184,4 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op10_simhash_components(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents."""
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_texts(spark, sf_dir, "documents"))

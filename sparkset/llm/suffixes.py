@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from sparkset.llm.shared import keep, map_arrow, own_column, read_table, release, slices
+from sparkset.llm.shared import keep, map_arrow, own_column, read_texts, release, slices
 
 LENGTH = 200
 #: Bytes of a text handled at once.
@@ -307,7 +307,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op8_suffix_repeats(spark, sf_dir: str) -> DataFrame:
     """Digest of what remains of all documents."""
-    return remove_repeats(read_table(spark, sf_dir, "documents")).select(
+    return remove_repeats(read_texts(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
 

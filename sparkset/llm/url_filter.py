@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import let, own_column, read_table
+from sparkset.llm.shared import let, own_column, read_texts
 
 #: (verdict, host/path): a rule holds for its host and all subdomains, for paths that start with its path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -101,13 +101,21 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", r
     if rows.limit(MOST_LABELLED + 1).count() > MOST_LABELLED:
         raise ValueError(f"at most {MOST_LABELLED} labelled URLs")
     rows = rows.select("label", gram_buckets(host_of(F.col("url")), path_of(F.col("url"))).alias("b"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.size(F.filter("b", lambda x: x == k)) / F.sqrt(F.greatest(F.size("b"), F.lit(1)).cast("double")))
-    fitted = LogisticRegression(maxIter=60, regParam=regularisation, standardization=False).fit(rows.coalesce(1).select("label", array_to_vector(counts).alias("features")))
+
+    def weights(b: Column) -> Column:
+        """Weight of each bucket that there is, as in ``UrlModel.score``: its count over the root of the number of grams."""
+        met = F.array_distinct(b)
+        return F.map_from_arrays(met, F.transform(met, lambda x: F.size(F.filter(b, lambda y: y == x)) / F.sqrt(F.size(b).cast("double"))))
+
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0)))
+    rows = rows.select("label", array_to_vector(let(let(F.col("b"), weights), dense)).alias("features"))
+    fitted = LogisticRegression(maxIter=60, regParam=regularisation, standardization=False).fit(rows.coalesce(1))
     return UrlModel([float(x) for x in fitted.coefficients], float(fitted.intercept))
 
 
 def default_labelled(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LABELLED, "url string, label int")
+    rows = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in LABELLED])
+    return spark.range(1).select(F.inline(rows))
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, url_col: str = "url", threshold: float = 0.5) -> DataFrame:
@@ -129,5 +137,5 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, url_col: str = "url",
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page."""
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = read_texts(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages, train(default_labelled(spark))).select("page_id", "host", "path", "rule", "verdict", "score")
