@@ -130,6 +130,12 @@ def apply_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return joined.select(id_col, *counts, base_failed().alias("base_failed"), (~base_failed() & F.coalesce(within, F.lit(True))).alias("kept"))
 
 
+def filter_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """The rows of ``documents`` that the rules keep, all columns; rows that share an id stay if one of them is kept, those without an id go."""
+    kept = apply_rules(documents.select(id_col, text_col, *groups), id_col, text_col, groups).where("kept").select(id_col).distinct()
+    return documents.join(kept.hint("merge"), id_col, "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict of all documents."""
     return apply_rules(read_texts(spark, sf_dir, "documents"))

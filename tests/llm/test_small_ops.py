@@ -68,6 +68,8 @@ def test_quality_rules_edges(odd, empty):
     rows = quality_rules.apply_rules(odd).collect()
     assert len(rows) == odd.count() and not any(r["kept"] for r in rows if r["n_words"] < 10)
     assert quality_rules.apply_rules(empty).count() == 0
+    good = {r["doc_id"] for r in rows if r["kept"] and r["doc_id"] is not None}
+    assert {r["doc_id"] for r in quality_rules.filter_documents(odd).collect()} == good and quality_rules.filter_documents(odd).columns == odd.columns
 
 
 # -- 2: license scan --------------------------------------------------------------------------------------------------
