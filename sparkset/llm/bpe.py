@@ -23,7 +23,7 @@ from sparkset.llm.shared import map_arrow, read_texts, slices
 #: How the public byte-level vocabularies cut text before merging (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces, and pairs of tokens, that a worker adds before it forgets those not met since it last did; this bounds its memory.
-REMEMBERED = 200_000
+REMEMBERED = 110_000
 #: Longer pieces are encoded but not remembered.
 LONGEST_REMEMBERED = 64
 
