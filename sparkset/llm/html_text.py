@@ -2,9 +2,9 @@
 
 A page is read into lines of text, one for each block. Pages are ordered by host and path; the neighbour of a page is the
 one before or after it on its host, whichever shares the longer start of the path (the one before, if equal). The lines of
-the two are aligned by longest common subsequence, and a line that both have is part of the site and is deleted. What the page itself
-marks as its article is its own and stays, also where a neighbour quotes or copies it; what it marks as
-menus, headers, footers, sidebars, adverts, forms or comments goes in any case.
+the two are aligned by longest common subsequence, and a line that both have is part of the site and is deleted, on pages with an article
+too. Marks are a check after that: what the page itself marks as its article is its own and stays, also where a neighbour quotes or
+copies it; what it marks as menus, headers, footers, sidebars, adverts, forms or comments goes in any case.
 
 To give every page its neighbours, the driver takes a bounded sample of keys to cut their order into ranges. The first and last
 page of each range are found from the keys alone, and these pages are sent to the ranges beside theirs too.
@@ -191,11 +191,11 @@ def _bits(mask: int, below: int) -> Iterator[int]:
 
 
 def main_lines(lines: list[str], kinds: list[int], neighbour: list[str] | None) -> list[str]:
-    """Lines of the main text, given the lines outside the article of the neighbouring page."""
+    """Lines of the main text, given the lines outside the article of the neighbouring page. Without a neighbour, a page with an article is that article."""
     outside = [i for i, k in enumerate(kinds) if k != OWN]
     gone = {outside[p] for p in shared_lines([lines[i] for i in outside], neighbour)} if neighbour else set()
-    has_article = OWN in kinds
-    return [x for i, (x, k) in enumerate(zip(lines, kinds)) if k == OWN or k == OPEN and not has_article and i not in gone]
+    only_article = neighbour is None and OWN in kinds
+    return [x for i, (x, k) in enumerate(zip(lines, kinds)) if k == OWN or k == OPEN and not only_article and i not in gone]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -280,7 +280,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             before = now = None
             for after in _with_end(rows()):
                 if now is not None and not now["ghost"]:
-                    near = [(_common_start(now["path"], x["path"]), -k, x["outside"]) for k, x in enumerate((before, after)) if x is not None and x["site"] == now["site"] and x["outside"] != now["outside"]]
+                    near = [(_common_start(now["path"], x["path"]), -k, x["outside"]) for k, x in enumerate((before, after)) if x is not None and x["site"] == now["site"] and x["lines"] != now["lines"]]
                     yield now, "\n".join(main_lines(now["lines"], now["kinds"], max(near)[2] if near else None))
                 before, now = now, after
 

@@ -210,6 +210,14 @@ def test_html_neighbours_against_sorting(spark):
         assert got[r[0]] == "\n".join(html_text.main_lines(lines, kinds, html_text.lines_of(ordered[max(near)[2]][2])[0] if near else None))
 
 
+def test_html_difference_beside_an_article(spark):
+    page = lambda i: f"<div>site</div><div>lead {i}</div><article><p>text {i}<p>site</article><div>foot</div>"
+    same_frame = lambda i: f"<div>site</div><article><p>text {i}</article>"
+    rows = [*((i, f"http://a/{i}", page(i)) for i in (1, 2)), (3, "http://b/1", page(3)), *((i, f"http://c/{i}", same_frame(i)) for i in (4, 5))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "lead 1\ntext 1\nsite", 2: "lead 2\ntext 2\nsite", 3: "text 3\nsite", 4: "text 4", 5: "text 5"}
+
+
 def test_html_edges(spark):
     rows = [(None, None, None), (1, None, "<p>a"), (1, None, "<p>a"), (2, "x://h/p", ""), (3, "http://h/p", "<article>" + "<p>word" * 20_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old")).withColumn("key_", F.lit(1))
