@@ -405,6 +405,58 @@ def index_nearest_examples(spark, sf_dir):
     return spark.createDataFrame([(r["vec_id"], round(s, 6) + 0.0) for s, r in zip(scores, rows)], "vec_id long, score double")
 
 
+# Many queries: every row whose id is divisible by 20, against all rows.
+
+
+def _knn_many_sql(metric: str, scaled: bool = False, k: int = 10) -> str:
+    score, order = {"cosine": ("list_cosine_similarity(e.v, q.v)", "DESC"), "l2": ("list_distance(e.v, q.v)", "ASC"), "inner_product": ("list_inner_product(e.v, q.v)", "DESC")}[metric]
+    shown = f"-pow({score}, 2)" if metric == "l2" else score
+    return f"""WITH e AS (SELECT vec_id, {_SCALED if scaled else _V} AS v FROM embeddings), q AS (SELECT vec_id, {_V} AS v FROM embeddings WHERE vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} {order}, e.vec_id) AS rank, e.vec_id, round({shown}, 6) + 0.0 AS score FROM e, q) WHERE rank <= {k}"""
+
+
+def _knn_many(spark, sf_dir, metric: str, scaled: bool = False) -> DataFrame:
+    df = _table(spark, sf_dir, "embeddings")
+    queries = df.where("vec_id % 20 = 0")
+    if scaled:
+        df = df.withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * (1 + F.col("vec_id") % 5)))
+    top = search.top_k_many(df, "embedding", queries, "vec_id", "embedding", 10, metric, tie="vec_id")
+    return top.select("query_id", "rank", "vec_id", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@_register(_knn_many_sql("cosine"))
+def knn_many_cosine(spark, sf_dir):
+    return _knn_many(spark, sf_dir, "cosine")
+
+
+@_register(_knn_many_sql("l2"))
+def knn_many_l2(spark, sf_dir):
+    return _knn_many(spark, sf_dir, "l2")
+
+
+@_register(_knn_many_sql("inner_product"))
+def knn_many_inner_product(spark, sf_dir):
+    return _knn_many(spark, sf_dir, "inner_product")
+
+
+@_register(_knn_many_sql("inner_product", scaled=True))
+def knn_many_inner_product_scaled(spark, sf_dir):
+    return _knn_many(spark, sf_dir, "inner_product", scaled=True)
+
+
+@_register(_knn_many_sql("l2", scaled=True))
+def knn_many_l2_scaled(spark, sf_dir):
+    return _knn_many(spark, sf_dir, "l2", scaled=True)
+
+
+@_register(_knn_many_sql("cosine", k=5))
+def index_nearest_many(spark, sf_dir):
+    df = _table(spark, sf_dir, "embeddings")
+    d = Dataset.from_frame(df, "vec_id").dense().add_index("embedding")
+    found = d.indices["embedding"].search_many(df.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
+    return found.join(d.frame.select(search.POS, "vec_id"), search.POS).select("query_id", "rank", "vec_id", (F.round("score", 6) + 0.0).alias("score"))
+
+
 # -- conversations, answers, preferences ------------------------------------------------------------------------------
 
 

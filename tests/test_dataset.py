@@ -155,6 +155,25 @@ def test_search(spark, tmp_path):
     assert l2.indices["e"].search([0.1, 0.1], 2)[0][1] == pytest.approx(-0.02)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2", "inner_product"])
+def test_nearest_of_many_queries(spark, metric):
+    from sparkset.operators import search
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(300)] + [(300, None), (301, [0.0] * 3)]  # many equal vectors
+    df = spark.createDataFrame(rows, "id long, e array<double>").repartition(5)
+    got = search.top_k_many(df, "e", df.where("id % 20 = 0"), "id", "e", 7, metric, tie="id", block=4)
+    got = sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in got.collect())
+    want = []
+    for q, v in rows[:300:20]:
+        top = search.top_k(df, "e", v, 7, metric, tie="id").collect()
+        want += [(q, n, r["id"], round(r["score"], 9)) for n, r in enumerate(top, 1)]
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[3] + 0.0 for x in got] == [x[3] + 0.0 for x in want]
+    if metric != "cosine":  # whole numbers: equal scores are equal to the last bit
+        assert got == want
+    assert search.top_k_many(df, "e", df.limit(0), "id", "e", tie="id").count() == 0
+
+
 def test_fingerprints(five):
     from sparkset.plans import fingerprint
 
