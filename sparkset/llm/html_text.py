@@ -1,13 +1,15 @@
 """Main text of HTML pages by differencing each page with its nearest neighbour.
 
 A page is read into lines of text, one for each block. Pages are ordered by host and path; the neighbour of a page is the
-one before or after it on its host, whichever shares the longer start of the path (the one before, if equal). The lines of
+nearest one before or after it on its host that has other lines, whichever shares the longer start of the path (the one before, if
+equal). Copies in a row thus have the same two pages to choose from. The lines of
 the two are aligned by longest common subsequence, and a line that both have is part of the site and is deleted, on pages with an article
 too. Marks are a check after that: what the page itself marks as its article is its own and stays, also where a neighbour quotes or
 copies it; what it marks as menus, headers, footers, sidebars, adverts, forms or comments goes in any case.
 
-To give every page its neighbours, the driver takes a bounded sample of keys to cut their order into ranges. The first and last
-page of each range are found from the keys alone, and these pages are sent to the ranges beside theirs too.
+To give every page its neighbours, the driver takes a bounded sample of keys to cut their order into ranges. Where a host goes on in the
+next range, the page at the cut and the nearest one with other lines, from whichever range, are sent across, both ways. They are found from
+keys and hashes of the lines; only hosts that are cut are read for it.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import map_arrow, own_column, read_texts
+from sparkset.llm.shared import keep, map_arrow, own_column, read_texts, release, slices
 
 #: Keys sampled to cut the order of pages into ranges.
 SAMPLE = 4000
@@ -214,7 +217,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``pages`` without its html, plus ``text``: the lines of the main text.
 
     Whole pages are read. Null and empty pages have an empty text; pages with a null url, or without ://, are of one nameless host.
-    A page alone on its host is read by its own marks, and so is one whose neighbours have the same lines: a copy tells nothing of the
+    A page alone on its host is read by its own marks, and so is one where all pages have the same lines: a copy tells nothing of the
     site. Repeated rows stay; null ids are carried along; a
     column named text is replaced.
     """
@@ -232,10 +235,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     cuts = [k.decode() for k in sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)})] if sample else []
     where = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col("key")))
     rows = keys.select("key", where.alias("part")).groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last")).orderBy("part").collect()
-    names = [r["part"] for r in rows]
-    back = {r["first"]: names[i - 1] for i, r in enumerate(rows) if i}
-    forth = {r["last"]: names[i + 1] for i, r in enumerate(rows[:-1])}
-    sent = lambda table: F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]), F.col(copy)) if table else F.lit(None).cast("int")
+    ghosts = _across(pages, light, order, F.col(f"`{html_col}`").cast("string"), where, rows)
+    sent = F.create_map(*[x for k, parts in ghosts.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(parts))))]) if ghosts else None
+    to_parts = F.coalesce(F.try_element_at(sent, F.col(copy)), F.array().cast("array<int>")) if ghosts else F.array().cast("array<int>")
 
     df = pages.select(*[F.col(f"`{c}`") for c in carried], order.alias(key), light.alias(copy), F.col(f"`{html_col}`").cast("string").alias(body))
     schema = df.withColumn(body, F.lit(b"")).schema
@@ -254,7 +256,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     lined = map_arrow(df, read, schema)
     here = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col(copy)))
-    copies = F.array_compact(F.array(F.struct(F.lit(False).alias("ghost"), here.alias("part")), *[F.when(sent(t).isNotNull(), F.struct(F.lit(True).alias("ghost"), sent(t).alias("part"))) for t in (back, forth)]))
+    copies = F.concat(F.array(F.struct(F.lit(False).alias("ghost"), here.alias("part"))), F.transform(to_parts, lambda p: F.struct(F.lit(True).alias("ghost"), p.alias("part"))))
     dealt = lined.select(*[F.col(f"`{c}`") for c in carried], key, body, F.explode(copies).alias(copy)).select(*[F.col(f"`{c}`") for c in carried], key, body, F.col(f"{copy}.ghost").alias(copy), F.col(f"{copy}.part").alias(part))
     dealt = dealt.repartition(part).sortWithinPartitions(part, key)
     at_key = len(carried)
@@ -269,7 +271,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             marked = raw.split("\n") if raw else []
             lines, kinds = [x[1:] for x in marked], [int(x[0]) for x in marked]
             host, path, *_ = batch.column(at_key)[i].as_py().encode().split(b"\x01")
-            return {"batch": batch, "i": i, "ghost": batch.column(at_key + 2)[i].as_py(), "site": (batch.column(at_key + 3)[i].as_py(), host), "path": path, "lines": lines, "kinds": kinds, "outside": [x for x, k in zip(lines, kinds) if k != OWN]}
+            return {"batch": batch, "i": i, "ghost": batch.column(at_key + 2)[i].as_py(), "site": (batch.column(at_key + 3)[i].as_py(), host), "path": path, "lines": lines, "kinds": bytes(kinds)}
 
         def rows() -> Iterator[dict]:
             for batch in batches:
@@ -277,12 +279,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     yield opened(batch, i)
 
         def judged() -> Iterator[tuple[dict, str]]:
-            before = now = None
+            before: dict | None = None
+            run: list[dict] = []  # pages of a site with the same lines, which are held once
             for after in _with_end(rows()):
-                if now is not None and not now["ghost"]:
-                    near = [(_common_start(now["path"], x["path"]), -k, x["outside"]) for k, x in enumerate((before, after)) if x is not None and x["site"] == now["site"] and x["lines"] != now["lines"]]
-                    yield now, "\n".join(main_lines(now["lines"], now["kinds"], max(near)[2] if near else None))
-                before, now = now, after
+                if run and after is not None and after["site"] == run[0]["site"] and after["lines"] == run[0]["lines"]:
+                    run.append(after | {"lines": run[0]["lines"]})
+                    continue
+                for now in run:
+                    if not now["ghost"]:
+                        near = [(_common_start(now["path"], x["path"]), -k, x) for k, x in enumerate((before, after)) if x is not None and x["site"] == now["site"]]
+                        other = max(near, key=lambda n: n[:2])[2] if near else None
+                        yield now, "\n".join(main_lines(now["lines"], now["kinds"], other and [x for x, k in zip(other["lines"], other["kinds"]) if k != OWN]))
+                before, run = run[-1] if run else None, [after]
 
         held: list[tuple[dict, str]] = []
         for pair in judged():
@@ -296,6 +304,43 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return map_arrow(dealt, difference, out_schema)
 
 
+def _across(pages: DataFrame, light: Column, order: Column, body: Column, where: Column, rows: list) -> dict[str, set[int]]:
+    """Keys of the pages that other ranges need, with those ranges. ``rows``: part, first and last key of each range that has pages."""
+    ends = [(r["part"], r["first"].split("\x01")[0], r["last"].split("\x01")[0]) for r in rows]
+    cut = [i for i in range(1, len(ends)) if ends[i - 1][2] == ends[i][1]]
+    if not cut:
+        return {}
+    host = F.substring_index("key", "\x01", 1)
+    near = pages.select(light.alias("key"), order.alias("at"), body.alias("body")).where(host.isin(sorted({ends[i][1] for i in cut})))
+
+    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [xxhash.xxh3_128_digest("\n".join(lines_of(page.as_py())[0]).encode("utf-8", "surrogatepass")) for page in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], names=["key", "at", "lines"])
+
+    seen = keep(map_arrow(near, told, "key string, at string, lines binary").select(where.alias("part"), host.alias("host"), F.struct("at", "key", "lines").alias("page")))
+    outer = keep(seen.groupBy("part", "host").agg(F.min("page").alias("first"), F.max("page").alias("last")))
+    other = lambda end: F.when(F.col("page.lines") != F.col(f"{end}.lines"), F.col("page"))
+    inner = seen.join(F.broadcast(outer), ["part", "host"]).groupBy("part", "host").agg(F.min(other("first")).alias("first"), F.max(other("last")).alias("last"))
+    found = {(r["part"], r["host"]): r for r in outer.collect()}
+    further = {(r["part"], r["host"]): r for r in inner.collect()}
+    release(seen)
+    release(outer)
+    out: dict[str, set[int]] = {}
+    for end, steps in (("last", [(i - 1, i) for i in cut]), ("first", [(i, i - 1) for i in reversed(cut)])):
+        carried, came, at = (), None, None  # the two pages that came into a range, from its far side
+        for source, target in steps:
+            name = ends[target][1 if end == "last" else 2]
+            here = found[ends[source][0], name][end]
+            pages_sent = [here, further[ends[source][0], name][end]]
+            if pages_sent[1] is None and (came, at) == (source, name):
+                pages_sent[1] = next((p for p in carried if p["lines"] != here["lines"]), None)
+            carried, came, at = tuple(p for p in pages_sent if p is not None), target, name
+            for p in carried:
+                out.setdefault(p["key"], set()).add(ends[target][0])
+    return out
+
+
 def _with_end(rows: Iterable[dict]) -> Iterator[dict | None]:
     yield from rows
     yield None

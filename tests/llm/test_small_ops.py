@@ -218,6 +218,15 @@ def test_html_difference_beside_an_article(spark):
     assert got == {1: "lead 1\ntext 1\nsite", 2: "lead 2\ntext 2\nsite", 3: "text 3\nsite", 4: "text 4", 5: "text 5"}
 
 
+@pytest.mark.parametrize("copies", [3, 300])
+def test_html_copies_in_a_row(spark, copies):
+    page = lambda own: f"<div>site</div><div>{own}</div><div>foot</div>"
+    urls = [("a", "http://a/1"), *(("copied", f"http://a/2?id={i}") for i in range(copies)), ("b", "http://a/3"), *(("alone", f"http://b/{i}") for i in range(copies))]
+    df = spark.createDataFrame([(i, url, page(own)) for i, (own, url) in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}  # copies fill ranges of their own
+    assert got == {i: "site\nalone\nfoot" if own == "alone" else own for i, (own, _) in enumerate(urls)}
+
+
 def test_html_edges(spark):
     rows = [(None, None, None), (1, None, "<p>a"), (1, None, "<p>a"), (2, "x://h/p", ""), (3, "http://h/p", "<article>" + "<p>word" * 20_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old")).withColumn("key_", F.lit(1))
