@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkset.llm.components import connected_components
-from sparkset.llm.shared import keep, map_arrow, read_texts, slices
+from sparkset.llm.shared import keep, map_arrow, own_column, read_texts, slices
 
 SHINGLE = 4
 SEED = 42
@@ -176,10 +176,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose id is the first of their component; rows without an id stay."""
-    marks = near_duplicates(documents.select(id_col, text_col), id_col, text_col)
-    first = keep(marks.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()).hint("merge")  # it grows with the documents
-    return documents.join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(documents.where(F.col(id_col).isNull()))
+    """The first row, by id, of each component; rows without an id stay.
+
+    One id may stand on several texts: each is judged in its own component, and of one component's texts with the first id one stays.
+    """
+    row, mark = own_column(documents, "row_"), own_column(documents, "mark_")
+    named = documents.withColumn(row, F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"))))
+    marks = near_duplicates(named.select(row, text_col), row, text_col)
+    first = keep(marks.where(F.col(row) == F.col("component_id")).select(F.col(row).alias(mark)).distinct()).hint("merge")  # it grows with the documents
+    return named.join(first, F.col(row) == F.col(mark), "left_semi").dropDuplicates([row]).drop(row).unionByName(documents.where(F.col(id_col).isNull()))
 
 
 def op10_simhash_components(spark, sf_dir: str) -> DataFrame:

@@ -438,3 +438,10 @@ def test_simhash_edges(odd, empty):
     assert len(rows) == odd.count() and {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16} == {1}
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_first(odd).columns == odd.columns and simhash.keep_first(odd).where("doc_id = 5").count() == 1
+
+
+def test_first_of_a_repeated_id(spark):
+    rows = [(5, "alpha beta gamma delta epsilon"), (5, "one two three four five six"), (3, "one two three four five six"), (5, "alpha beta gamma delta epsilon"), (7, "alpha beta gamma delta epsilon"), (None, "alone")]
+    for order in (rows, rows[1:] + rows[:1]):
+        got = simhash.keep_first(spark.createDataFrame(order, "doc_id long, text string").coalesce(1))
+        assert sorted(((r["doc_id"] or 0), r["text"]) for r in got.collect()) == [(0, "alone"), (3, rows[1][1]), (5, rows[0][1])]
