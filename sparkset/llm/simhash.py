@@ -5,15 +5,17 @@ vector v, table v keeps the positions with odd <m(i), v>. The m(i) of at most ``
 span less than the whole space, so some v is orthogonal to them all: in its table the two fingerprints agree on
 every position kept. Every pair within the radius thus meets in a bucket of some table.
 
-Fingerprints in a bucket differ only at the positions that its table drops. A bucket with more members than
-``BUCKET`` is dealt out again by the same construction over those positions, so that three levels leave 2^8
-members at most: no bucket is capped and none must be gathered as a whole.
+A task compares the members of a bucket, up to ``BUCKET`` of them. Larger buckets are counted before and not gathered: their members
+meet at midpoints. Two values within the radius have a value between them that lies within half the radius of both, and all values
+around one midpoint are within the radius of each other; so each member names the values around it, whatever the size of
+its buckets a fixed number (2081 at radius 4), and is linked to the least member that names the same one. No bucket is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkset.llm.components import connected_components
-from sparkset.llm.shared import keep, map_arrow, own_column, read_texts, slices
+from sparkset.llm.shared import keep, map_arrow, own_column, read_texts, release, slices
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: Members of a bucket that a task compares with each other; larger buckets are dealt out again.
-BUCKET = 2048
+#: Members of a bucket that a task compares with each other; those of larger buckets meet at midpoints.
+BUCKET = 65_536
 
 _BITS_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE_AT = np.arange(8, dtype=np.int64) * 256
@@ -65,18 +67,11 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 @cache
-def table_masks(kept: int = 0, radius: int = RADIUS) -> tuple[int, ...]:
-    """Masks of the tables over the positions that are not in ``kept``; each mask also has those in ``kept``."""
-    free = [i for i in range(64) if not kept >> i & 1]
+def table_masks(radius: int = RADIUS) -> tuple[int, ...]:
+    """Masks of the tables: the positions that each keeps."""
     vectors = (1 << radius + 1) - 1
-    masks = []
-    # by steps of four, the first vectors dealt out span the space: each mask keeps half of 16 positions, and some of any 11
-    for v in range(1, vectors + 1):
-        mask = kept
-        for k, i in enumerate(free):
-            mask |= ((k * 4 % vectors + 1 & v).bit_count() & 1) << i
-        masks.append(mask)
-    return tuple(masks)
+    # by steps of four, the first vectors dealt out span the space: each mask keeps about half of the positions
+    return tuple(sum(((i * 4 % vectors + 1 & v).bit_count() & 1) << i for i in range(64)) for v in range(1, vectors + 1))
 
 
 def _signed(x: int) -> int:
@@ -99,65 +94,76 @@ def spread(group: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _linked_in_buckets(buckets: DataFrame, radius: int, bucket: int) -> DataFrame:
-    """Rows (mask, key, fp) to links (a, b), or to (mask, null, fp) for members of buckets that are too large."""
+def _linked_in_buckets(buckets: DataFrame, radius: int) -> DataFrame:
+    """Rows (mask, key, fp) to links (a, b) that join all members of a bucket which the radius joins."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["mask", "a", "b"]
-        at, held, large = None, np.empty(0, np.uint64), False
+        at, held = None, []
         for batch in batches:
             mask, key, fp = (batch.column(i).to_numpy() for i in range(3))
             fp = fp.view(np.uint64)
             cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(fp)]))
             links: list[tuple[int, int]] = []
-            again: list[tuple[int, np.ndarray]] = []
             # the first and last group may go on in other batches; of those between, only the ones with several members matter
             for g in sorted({0, len(starts) - 1} | set(np.flatnonzero(ends - starts > 1).tolist())) if len(fp) else []:
                 part, here = fp[starts[g] : ends[g]], (int(mask[starts[g]]), int(key[starts[g]]))
                 if here != at:
-                    links += spread(held, radius)
-                    at, held, large = here, part, False
-                else:
-                    held = np.concatenate((held, part))
-                if large or len(held) > bucket:
-                    again.append((at[0], held))
-                    held, large = held[:0], True
+                    links += spread(np.concatenate(held), radius) if held else []
+                    at, held = here, []
+                held.append(part)
             if links:
-                a, b = np.array(links, np.uint64).view(np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=names)
-            for m, x in again:
-                yield pa.RecordBatch.from_arrays([pa.array([m] * len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(x.view(np.int64))], names=names)
-        if links := spread(held, radius):
-            a, b = np.array(links, np.uint64).view(np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=names)
+                yield _link_batch(links)
+        if held and (links := spread(np.concatenate(held), radius)):
+            yield _link_batch(links)
 
-    return buckets.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, "mask long, a long, b long")
+    return map_arrow(buckets.repartition("mask", "key").sortWithinPartitions("mask", "key"), run, "a long, b long")
+
+
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.unique(np.array(links, np.uint64).view(np.int64), axis=0).T
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+@cache
+def around(radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that differ between a value and those within half the radius of it, and, for an odd radius, one further; and which are the nearer."""
+    reach = -(-radius // 2)
+    flips = [sum(1 << i for i in c) for n in range(reach + 1) for c in combinations(range(64), n)]
+    return np.array(flips, np.uint64), np.array([x.bit_count() <= radius // 2 for x in flips])
+
+
+def _linked_at_midpoints(members: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that join all values of ``fp`` which the radius joins, by the values between them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips, nearer = around(radius)
+        for batch in slices(batches, 16):
+            fp = batch.column(0).to_numpy()
+            middle = (fp.view(np.uint64)[:, None] ^ flips).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(middle), pa.array(np.repeat(fp, len(flips))), pa.array(np.tile(nearer, len(fp)))], names=["middle", "fp", "near"])
+
+    named = keep(map_arrow(members.select("fp"), run, "middle long, fp long, near boolean"))
+    least = named.groupBy("middle").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.count("*").alias("n")).where("n > 1 and a is not null").select("middle", "a")
+    found = keep(named.join(least, "middle").where("a != fp").select("a", F.col("fp").alias("b")).distinct())
+    release(named)
+    return found
 
 
 def linked(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between values of ``fp`` whose components are those of all pairs within the radius."""
-    deal = lambda masks: F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]))
-    rows = distinct.select("fp", deal(table_masks(0, radius)).alias("mask"))
-    found, levels = [], 0
-    while True:
-        made = keep(_linked_in_buckets(rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp"), radius, bucket))
-        found.append(made.where("a is not null").select("a", "b"))
-        large = made.where("a is null").select("mask", F.col("b").alias("fp")).distinct()
-        kept = [r["mask"] for r in large.select("mask").distinct().collect()]  # as many as tables at most
-        levels += 1
-        if not kept:
-            break
-        if levels == 1:
-            finer = F.create_map(*[x for m in kept for x in (F.lit(m), F.array(*[F.lit(_signed(n)) for n in table_masks(m % (1 << 64), radius)]))])
-            rows = large.select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
-        else:
-            split = large.sparkSession.createDataFrame([(m, _signed(n)) for m in kept for n in table_masks(m % (1 << 64), radius)], "mask long, finer long")
-            rows = large.join(split, "mask").select("fp", F.col("finer").alias("mask"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionAll(x)
-    return out
+    deal = F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in table_masks(radius)]))
+    rows = distinct.select("fp", deal.alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+    large = keep(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("mask", "key"))
+    if large.isEmpty():
+        release(large)
+        return keep(_linked_in_buckets(rows, radius))
+    small = _linked_in_buckets(rows.join(large, ["mask", "key"], "left_anti"), radius)
+    at_midpoints = _linked_at_midpoints(rows.join(large, ["mask", "key"], "left_semi").select("fp").distinct(), radius)
+    found = keep(small.unionAll(at_midpoints))
+    release(large)
+    release(at_midpoints)
+    return found
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -168,10 +174,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     docs = keep(fingerprints(documents, id_col, text_col))
     distinct = keep(docs.groupBy("fp").agg(F.min(id_col).alias("first_id")))
-    stars = connected_components(linked(distinct, radius, bucket))
+    links = linked(distinct, radius, bucket)
+    stars = connected_components(links)
+    release(links)
     member = keep(distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    component = keep(member.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    release(distinct)
+    release(stars)
+    component = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     label = keep(member.select("fp", "root").join(component, "root").select("fp", "component_id"))
+    release(member)
     return docs.join(label, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

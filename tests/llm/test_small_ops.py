@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkset.llm import bpe, decontaminate, html_text, licenses, line_dedup, quality_knn, quality_rules, simhash, suffixes, url_filter
 from sparkset.llm import queries as q
 from sparkset.llm.components import connected_components
+from sparkset.llm.shared import keep, release, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -387,18 +388,25 @@ def test_fingerprint():
 
 def test_masks_cover_every_pair_in_the_radius():
     rng = random.Random(5)
-    first = simhash.table_masks()
+    masks = simhash.table_masks()
+    assert len(masks) == 31 and all(24 <= m.bit_count() <= 40 for m in masks)
     for _ in range(2000):
         diff = sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 5)))
-        met = [m for m in first if not m & diff]
-        assert met
-        finer = simhash.table_masks(met[0])
-        assert any(not m & diff for m in finer) and all(m & met[0] == met[0] for m in finer)
-    assert all((~m & (1 << 64) - 1).bit_count() <= 8 for a in first[:2] for b in simhash.table_masks(a)[:2] for m in simhash.table_masks(b))
+        assert any(not m & diff for m in masks)
 
 
-@pytest.mark.parametrize("bucket", [2048, 8])
-def test_links_against_all_pairs(spark, bucket):
+@pytest.mark.parametrize("radius", [1, 2, 3, 4])
+def test_midpoints_of_every_pair_in_the_radius(radius):
+    flips, nearer = simhash.around(radius)
+    near, all_of = {int(x) for x, n in zip(flips, nearer) if n}, {int(x) for x in flips}
+    for d in range(1, radius + 1):
+        apart = (1 << d) - 1
+        assert any(x ^ apart in all_of for x in near)  # one of the two lies nearer
+    assert all((a ^ b).bit_count() <= radius for a in list(near)[:80] for b in list(all_of)[-80:])
+
+
+@pytest.mark.parametrize("bucket,radius", [(2048, 4), (8, 4), (8, 3)])
+def test_links_against_all_pairs(spark, bucket, radius):
     rng = random.Random(bucket)
     values = set()
     for _ in range(30):
@@ -413,7 +421,7 @@ def test_links_against_all_pairs(spark, bucket):
     values = sorted(values)
     root = {simhash._signed(v): simhash._signed(v) for v in values}
     df = spark.createDataFrame([(v,) for v in root], "fp long")
-    root.update({r["node"]: r["root"] for r in connected_components(simhash.linked(df, bucket=bucket)).collect()})
+    root.update({r["node"]: r["root"] for r in connected_components(simhash.linked(df, radius, bucket)).collect()})
     parent = list(range(len(values)))
 
     def find(i):
@@ -424,7 +432,7 @@ def test_links_against_all_pairs(spark, bucket):
 
     for i in range(len(values)):
         for j in range(i):
-            if (values[i] ^ values[j]).bit_count() <= 4:
+            if (values[i] ^ values[j]).bit_count() <= radius:
                 parent[find(i)] = find(j)
     ours, theirs = collections.defaultdict(set), collections.defaultdict(set)
     for i, v in enumerate(values):
@@ -433,6 +441,42 @@ def test_links_against_all_pairs(spark, bucket):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_one_large_group_of_near_copies(spark):
+    """A group in one ball and a chain that leaves it, beyond the bucket: rows named at midpoints are in proportion, whatever the buckets."""
+    rng = random.Random(12)
+    base = rng.getrandbits(64)
+    ball = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(3))) for _ in range(300)}
+    chain = [base ^ (1 << 4 * k) - 1 for k in range(1, 12)]
+    alone = [rng.getrandbits(64) for _ in range(50)]
+    values = sorted({*ball, *chain, *alone})
+    df = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    root = {r["node"]: r["root"] for r in connected_components(simhash.linked(df, bucket=16)).collect()}
+    least = min(map(simhash._signed, {*ball, *chain}))
+    assert {root.get(simhash._signed(v), simhash._signed(v)) for v in {*ball, *chain}} == {least}
+    assert all(simhash._signed(v) not in root for v in alone)
+    assert len(simhash.around(4)[0]) == 2081
+
+
+@pytest.mark.parametrize("pairs", [[], [(1, 1)], [(5, 1), (1, 5), (5, 5)], [(i + 1, i) for i in range(40)], [(0, i) for i in range(1, 300)] + [(300, i) for i in range(250, 320)], [(None, 1), (2, None), (7, 3)]])
+def test_components_against_union(spark, pairs):
+    want = {}
+    for a, b in pairs * 50:
+        if a is not None and b is not None:
+            low = min(want.get(a, a), want.get(b, b))
+            want[a] = want[b] = low
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {n: r for n, r in want.items() if n != r}
+
+
+def test_kept_tables_go(spark):
+    kept = keep(spark.range(5))
+    path = kept.inputFiles()[0]
+    assert kept.count() == 5 and shared_dir(spark).split(":")[-1] in path
+    release(kept)
+    with pytest.raises(Exception, match="(?i)not.exist|not found"):
+        spark.read.parquet(path.rsplit("/", 1)[0]).count()
+
+
 def test_simhash_edges(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count() and {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16} == {1}
