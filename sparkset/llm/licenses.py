@@ -1,13 +1,16 @@
 """License scan: MinHash bands over overlapping windows retrieve templates, exact containment of shingles verifies them.
 
-A text and a template are sequences of five-word shingles. Windows of 4 and of 16 shingles start every 2 and every 4
-shingles; a template is cut into the same windows (a shorter one is a window itself). Each of 32 hash functions gives a
-band of one row. A template of up to 4 shingles lies in a text window whole, so that at least a quarter of
-the window is its own: the chance that no band meets is under 0.75^32 = 0.0001. For a template of up to 13 shingles it
-is under (1 - 5/16)^32 = 0.00001, and a longer one has windows that lie within 2 shingles of a text window,
-for which it is under 0.3^32.
-
-A window that shares no shingle with any template can't share a band with one; only windows that share one are signed.
+Texts and templates are sequences of five-word shingles. Windows of 4 shingles start at every second shingle of a text and at every
+shingle of a template; a shorter template is a window itself. A window is signed by 32 bands of one hash function: the least and the
+greatest of its shingles' hashes after each of 16 rotations by 4 bits. A text and a template that have a band in common meet in a join
+on it; nothing is known of the texts before. Of windows with Jaccard similarity J, the chance that no band meets is about (1 - J)^32:
+
+* A template of one shingle lies in two text windows, J = 1/4: 0.0001 (simulated 0.00002, as a window's least and greatest differ).
+* One of two to four shingles has a window with J = 1/2 or more: under 10^-9.
+* Of a longer one at least 4 in 5 shingles are there, so at least 2 in a row are, J = 1/3 or more: under 0.00001; where five in
+  a row are, one text window of the two that start in them is a window of the template.
+
+Retrieved pairs are verified with the whole text: they must share enough distinct shingles, word by word.
 """
 
 from __future__ import annotations
@@ -15,15 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkset.llm.shared import keep, let, own_column, read_texts
+from sparkset.llm.shared import keep, let, read_texts
 
 SHINGLE = 5
 CONTAINED = 0.8
-#: Window lengths in shingles, and the distance between starts.
-WINDOWS = ((4, 2), (16, 4))
-BANDS = 32
-#: Templates that may be broadcast.
-MOST_TEMPLATES = 5000
+#: Shingles in a window, and the distance between starts in a text.
+WINDOW, STEP = 4, 2
+#: Bits by which hashes are rotated; each rotation gives two bands.
+ROTATIONS = range(0, 64, 4)
+#: Bytes of templates whose bands are broadcast; beyond it, Spark chooses the join.
+MOST_BROADCAST = 1_000_000
 
 #: License and notice as public licenses word it (fixed values).
 TEMPLATES = [
@@ -58,76 +62,96 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def shingle_names(words: str) -> Column:
-    """Hashes of the five-word shingles of an array of words; none where there are fewer words."""
+def shingle_names(words: str, length: int = SHINGLE) -> Column:
+    """Hashes of the shingles of an array of words; none where there are fewer words."""
 
     def of(w: Column) -> Column:
-        last = F.size(w) - SHINGLE
-        names = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+        last = F.size(w) - length
+        names = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(length)]))
         return F.when(last >= 0, names).otherwise(F.array().cast("array<bigint>"))
 
     return let(F.col(words), of)
 
 
-def bands(window: Column) -> Column:
-    """Least value of a window's shingles under each hash function."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform(window, lambda x: F.xxhash64(x, k))))
+def shingle_texts(words: str, length: int = SHINGLE) -> Column:
+    """The distinct shingles of an array of words."""
 
+    def of(w: Column) -> Column:
+        last = F.size(w) - length
+        texts = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, length), " "))
+        return F.when(last >= 0, F.array_distinct(texts)).otherwise(F.array().cast("array<string>"))
 
-def _windows_at(width: int, step: int) -> Column:
-    """The windows of ``names`` that hold a position of ``hits``, once each."""
+    return let(F.col(words), of)
 
-    def holders(hit: Column) -> Column:
-        return F.sequence(F.greatest(F.floor((hit - width + step) / step), F.lit(0)).cast("int"), F.floor(hit / step).cast("int"))
 
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda hit: holders(hit))))
-    return let(F.col("names"), lambda names: F.transform(starts, lambda k: F.slice(names, k * step + 1, width)))
+def bands(named: DataFrame, step: int) -> DataFrame:
+    """The other columns of ``named`` and ``band``: one row for each window of its column ``names`` and each band."""
+    others = [c for c in named.columns if c != "names"]
+    shingle = [f"s{i}" for i in range(WINDOW)]
+    windows = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(step)), lambda i: F.struct(*[F.get(x, i + k).alias(s) for k, s in enumerate(shingle)]))
+    rows = named.where(F.size("names") > 0).select(*others, let(F.col("names"), windows).alias("windows")).select(*others, F.inline("windows"))
+    rows = rows.select(*others, *shingle, F.explode(F.array(*map(F.lit, ROTATIONS))).alias("by"))
+    turned = [F.call_function("shiftleft", F.col(s), F.col("by")).bitwiseOR(F.call_function("shiftrightunsigned", F.col(s), 64 - F.col("by"))) for s in shingle]
+    # least and greatest pass over the nulls after the last shingle; the complement keeps bands of the two kinds apart
+    rows = rows.select(*others, F.least(*turned).alias("least"), F.greatest(*turned).alias("greatest"))
+    return rows.select(*others, F.explode(F.array("least", F.bitwise_not("greatest"))).alias("band"))
 
 
 def _template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"at most {MOST_TEMPLATES} templates")
+    """Templates with a word: number, license, words and length of their shingles, which are shorter only in templates of under five words."""
     rows = [(i, license_id, text) for i, (license_id, text) in enumerate(templates)]
     df = spark.createDataFrame(rows, "template int, license string, text string").select("template", "license", license_words(F.col("text")).alias("words"))
-    text_of = lambda i: F.array_join(F.slice("words", i + 1, SHINGLE), " ")
-    return df.where(F.size("words") >= SHINGLE).select("template", "license", shingle_names("words").alias("names"), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), text_of)).alias("shingles"))
+    return df.where(F.size("words") > 0).select("*", F.least(F.size("words"), F.lit(SHINGLE)).alias("length"))
+
+
+def _template_bands(table: DataFrame, length: int) -> DataFrame:
+    """Every window of a template starts a row for each band; windows that run over its end are left out, but for a template that is one window."""
+    named = table.select("template", shingle_names("words", length).alias("names"))
+    n = F.size("names")
+    pieces = lambda names: F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.slice(names, i + 1, WINDOW))
+    return bands(named.select("template", F.explode(let(F.col("names"), pieces)).alias("names")), WINDOW).distinct()
 
 
-def _template_windows(table: DataFrame) -> DataFrame:
-    """Bands of the windows of templates. Every width has the short ones; long ones fall to the widest."""
-    n, found = F.size("names"), None
-    for width, _ in WINDOWS:
-        starts = F.when(n <= width, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))))
-        one = table.select("template", F.explode(starts).alias("s"), "names").select("template", F.slice("names", F.col("s") + 1, width).alias("window"))
-        found = one if found is None else found.unionAll(one)
-    return found.select("template", F.posexplode(bands(F.col("window"))).alias("band", "least")).distinct()
+def retrieve(texts: DataFrame, table: DataFrame, length: int, broadcast: bool) -> DataFrame:
+    """Distinct ``k1``, ``k2`` and ``template`` of the pairs with a band in common. ``texts``: k1, k2 and words."""
+    signed = bands(texts.select("k1", "k2", shingle_names("words", length).alias("names")), STEP)
+    known = _template_bands(table, length)
+    known = F.broadcast(keep(known)) if broadcast else known
+    return signed.join(known, "band").select("k1", "k2", "template").distinct()
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", contained: float = CONTAINED) -> DataFrame:
     """One row for each document and template found in it: ``id_col``, ``license``, ``template``, ``n_shared``, ``n_shingles``.
 
-    A template is found where the text holds at least ``contained`` of its distinct shingles. Whole texts are read.
-    Null, empty and short texts have no shingle and no row; rows that repeat, or share an id, give one row for
-    each template and id with the most shingles shared. Other columns are not read.
+    A template is found where the text holds at least ``contained`` of its distinct shingles; one of under five words is a single shingle.
+    Whole texts are read. Null, empty and short texts have no shingle and no row, and templates without a word are never found. Rows that
+    repeat, or share an id, give one row for each template and id with the most shingles shared; rows with a null id are told by their texts. Other
+    columns are not read.
     """
     spark = documents.sparkSession
-    table = _template_table(spark, TEMPLATES if templates is None else templates)
-    known = sorted({x for r in table.select("names").collect() for x in r["names"]})  # a constant's size
-    doc = own_column(spark.createDataFrame([], "template int, license string, names int, shingles int, window int, band int, least int, words int, hits int, shared int"), id_col)
-    df = documents.select(F.col(id_col).alias(doc), license_words(F.col(text_col)).alias("words"))
-    df = df.select(doc, "words", shingle_names("words").alias("names"))
-    of_templates = F.lit(known).cast("array<bigint>") if known else F.array().cast("array<bigint>")
-    spots = lambda met: F.filter(F.transform("names", lambda x, i: F.when(F.array_contains(met, x), i)), lambda i: i.isNotNull())
-    df = df.where(F.arrays_overlap("names", of_templates)).select(doc, "words", "names", let(F.array_intersect("names", of_templates), spots).alias("hits"))
-    shared = let(F.col("words"), lambda w: F.array_distinct(F.transform("hits", lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))))
-    windows = [_windows_at(width, step) for width, step in WINDOWS]
-    df = df.select(doc, shared.alias("shared"), F.concat(*windows).alias("windows"))
-    signed = df.select(doc, "shared", F.explode(F.array_distinct(F.flatten(F.transform("windows", lambda w: F.transform(bands(w), lambda x, k: F.struct(k.alias("band"), x.alias("least"))))))).alias("b"))
-    retrieved = signed.select(doc, "shared", "b.band", "b.least").join(F.broadcast(keep(_template_windows(table))), ["band", "least"]).select(doc, "shared", "template").distinct()
-    checked = retrieved.join(F.broadcast(table.select("template", "license", "shingles")), "template")
-    checked = checked.select(doc, "license", "template", F.size(F.array_intersect("shared", "shingles")).cast("long").alias("n_shared"), F.size("shingles").cast("long").alias("n_shingles"))
-    found = checked.where(F.col("n_shared") >= F.ceil(F.lit(contained) * F.col("n_shingles"))).groupBy(doc, "license", "template").agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
-    return found.select(F.col(doc).alias(id_col), "license", "template", "n_shared", "n_shingles")
+    given = TEMPLATES if templates is None else templates
+    table = _template_table(spark, given)
+    broadcast = sum(len(t) for _, t in given) <= MOST_BROADCAST
+    kind = documents.schema[id_col].dataType
+    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # rows are told by hashes of id and text, so that ids that occur twice do no harm
+    keyed = source.select("id", F.xxhash64("id").alias("k1"), F.xxhash64("text").alias("k2"), license_words(F.col("text")).alias("words"))
+    found = None
+    for length in sorted(r["length"] for r in table.select("length").distinct().collect()):
+        own = table.where(F.col("length") == length)
+        met = keep(retrieve(keyed.select("k1", "k2", "words"), own, length, broadcast))
+        shingles = own.select("template", "license", shingle_texts("words", length).alias("wanted"))
+        held = keyed.join(met.groupBy("k1", "k2").agg(F.collect_set("template").alias("templates")), ["k1", "k2"])
+        held = held.select("id", "k2", "templates", shingle_texts("words", length).alias("held"))
+        pair = held.select("id", "k2", "held", F.explode("templates").alias("template")).join(F.broadcast(shingles) if broadcast else shingles, "template")
+        pair = pair.select("id", "k2", "license", "template", F.size(F.array_intersect("held", "wanted")).cast("long").alias("n_shared"), F.size("wanted").cast("long").alias("n_shingles"))
+        pair = pair.where(F.col("n_shared") >= F.ceil(F.lit(contained) * F.col("n_shingles")))
+        found = pair if found is None else found.unionAll(pair)
+    if found is None:
+        return spark.createDataFrame([], "n long").select(F.lit(None).cast(kind).alias(id_col), F.lit("").alias("license"), F.lit(0).alias("template"), F.col("n").alias("n_shared"), F.col("n").alias("n_shingles"))
+    nameless = F.when(F.col("id").isNull(), F.col("k2")).alias("nameless")
+    best = found.groupBy("id", nameless, "license", "template").agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
+    return best.select(F.col("id").alias(id_col), "license", "template", "n_shared", "n_shingles")
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
