@@ -11,39 +11,45 @@ from sparkset.llm.shared import let, own_column, read_texts
 
 #: (verdict, host/path): a rule holds for its host and all subdomains, for paths that start with its path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-MOST_RULES = 1000
+#: Rules that stand in the plan as an expression; more of them are joined on the hosts they hold for.
+MOST_IN_PLAN = 1000
 GRAMS = (3, 4, 5)
 BUCKETS = 4096
 #: Labelled URLs that training may read.
 MOST_LABELLED = 20_000
-
-#: Small labelled table: 1 marks hosts or paths of spam, gambling, adult, piracy and tracking pages.
-LABELLED = [
-    *((u, 1) for u in (
-        "http://cheap-pills.example.org/buy/now", "https://www.cheap-meds.example.net/en/order", "http://discount-pills.example.com/viagra",
-        "https://casino-win.example.org/play", "http://m.casino-bonus.example.com/slots/free", "https://online-casino.example.net/en/jackpot",
-        "https://free-bets.example.net/odds", "http://sport-bets.example.org/en/bet-now", "https://poker-win.example.com/bonus",
-        "http://spam-farm.example.com/links/1", "https://link-farm.example.net/en/seo", "http://seo-spam.example.org/backlinks",
-        "https://adult-x.example.com/video", "http://xxx-adult.example.org/cams", "https://blog.adult-cams.example.net/en/live",
-        "http://ads-track.example.net/click?id=1", "https://track-ads.example.org/pixel", "http://m.ads-click.example.com/redirect",
-        "https://free-money.example.org/win", "http://win-prize.example.net/claim", "https://lottery-win.example.com/en/prize",
-        "http://free-download.example.org/crack", "https://warez-crack.example.net/keygen", "http://torrent-free.example.com/movies",
-        "https://fast-loans.example.org/apply", "http://payday-loans.example.net/cash", "https://crypto-double.example.com/invest",
-        "http://replica-watches.example.org/shop", "https://cheap-replica.example.net/bags", "http://weight-loss-pills.example.com/trial",
-    )),
-    *((u, 0) for u in (
-        "https://news.example.org/en/2024/05/report", "http://www.library.example.net/en/catalogue/81", "https://university.example.org/de/research",
-        "https://blog.gardening.example.com/en/17", "http://museum.example.org/fr/collection/12", "https://www.weather.example.net/es/today",
-        "https://docs.software.example.org/en/guide.html", "http://wiki.science.example.net/en/304", "https://history.example.com/de/512.html",
-        "https://m.recipes.example.net/fr/88/", "http://www.cityhall.example.org/es/services/", "https://health.example.org/en/advice/330",
-        "https://blog.thereading.example.net/en/25", "http://station.example.com/en/676", "https://nation.example.org/de/119?page=2",
-        "https://theatre.example.net/fr/825", "http://www.another.example.com/es/47#top", "https://education.example.org/en/9",
-        "https://m.travel.example.com/de/770", "http://blog.thinking.example.org/fr/14.html", "https://www.thermal.example.net/en/541/",
-        "https://teaching.example.com/en/302?utm_source=feed", "http://astronomy.example.org/es/288", "https://www.farming.example.net/en/farm/6",
-        "https://tracks.example.org/en/trail/31", "http://music.example.com/de/album/9", "https://adults.example.org/en/evening-courses",
-        "https://winter.example.net/fr/613", "http://cheaper.example.org/en/energy/2", "https://www.freedom.example.com/en/essay/4",
-    )),
-]
+#: Score from which a URL is blocked: odds of 2 to 1, as the labelled table is balanced and the web is not.
+THRESHOLD = 2 / 3
+
+#: Words of unwanted hosts, by kind (gambling, medicine, adult, piracy, link farms, advertising, phishing, money), and of ordinary ones.
+SPAM_WORDS = """
+    casino poker slots betting bets bingo jackpot roulette lottery viagra cialis pills pharmacy meds slimming
+    xxx adult porn sexy escort cams dating singles torrent warez keygen cracked serial download free movies
+    seo backlinks spam bulk followers link farm ads adserver click track popup banner affiliate redirect
+    verify giftcard prize winner claim crypto forex profit cash loans payday replica cheap discount
+""".split()
+PLAIN_WORDS = """
+    library university museum garden recipe council weather railway school orchestra hospital software theatre science village
+    history music geography chess cathedral parliament harbour newspaper book carpentry knitting sailing cycling mountain river forest
+    bird pottery painting sculpture philosophy language archaeology economics statistics engineering physics chemistry biology astronomy geology
+    botany grammar dictionary kindergarten observatory choir cinema local open data travel energy poetry kitchen
+""".split()
+
+
+def _labelled() -> list[tuple[str, int]]:
+    """Small labelled table: made-up hosts of one or two words under reserved names. Both kinds have the same prefixes, domains and paths: only words tell."""
+    prefixes, domains = ("", "www.", "m.", "blog."), ("example.com", "example.org", "example.net", "example", "test")
+    paths = ("/en/{0}", "/de/{0}.html", "/fr/{0}/", "/es/{0}?page=2", "/news/2024/{0}", "/")
+    rows = []
+    for label, words in ((1, SPAM_WORDS), (0, PLAIN_WORDS)):
+        for i, word in enumerate(words):
+            others = [words[(i + step) % len(words)] for step in (7, 23)]
+            for k, name in enumerate((word, f"{word}-{others[0]}", f"{others[1]}-{word}", word + others[1])):
+                at = i * 4 + k
+                rows.append((f"https://{prefixes[at // 4 % 4]}{name}.{domains[at % 5]}{paths[at % 6].format(at * 137 % 1000)}", label))
+    return rows
+
+
+LABELLED = _labelled()
 
 
 def host_of(url: Column) -> Column:
@@ -56,18 +62,38 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _parts(rule: str) -> tuple[str, str]:
+    host, _, path = rule.partition("/")
+    return host, "/" + path
+
+
 def ruled(host: Column, path: Column, rules=RULES) -> Column:
-    """The longest rule that fits, as a struct of verdict and rule; null where none fits."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
+    """The longest rule that fits (of equally long ones the last), as a struct of verdict and rule; null where none fits."""
     found = F.lit(None).cast("struct<verdict:string,rule:string>")
     for verdict, rule in sorted(rules, key=lambda r: len(r[1])):  # the longest is asked first
-        of_host, of_path = rule.partition("/")[0], "/" + rule.partition("/")[2]
+        of_host, of_path = _parts(rule)
         fits = ((host == of_host) | host.endswith("." + of_host)) & path.startswith(of_path)
         found = F.when(fits, F.struct(F.lit(verdict).alias("verdict"), F.lit(rule).alias("rule"))).otherwise(found)
     return found
 
 
+def ruled_by_join(addresses: DataFrame, rules, host_col: str = "host", path_col: str = "path") -> DataFrame:
+    """``host_col``, ``path_col`` and ``ruled``, as by ``ruled``, of the distinct addresses that a rule fits; for any number of rules.
+
+    Rules are gathered by host, so that an address meets each host that it lies in once: itself and what follows each of its dots.
+    """
+    spark = addresses.sparkSession
+    rows = [(*_parts(rule), (len(rule), i), (verdict, rule)) for i, (verdict, rule) in enumerate(rules)]
+    table = spark.createDataFrame(rows, "of string, start string, rank struct<length:int,place:int>, ruled struct<verdict:string,rule:string>")
+    table = table.groupBy("of").agg(F.collect_list(F.struct("rank", "ruled", "start")).alias("rules"))
+    labels = F.split(F.col(host_col), r"\.")
+    domains = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    met = addresses.select(host_col, path_col).distinct().select(host_col, path_col, F.explode(F.array_distinct(domains)).alias("of")).join(table, "of")
+    fitting = F.filter("rules", lambda r: F.col(path_col).startswith(r["start"]))
+    best = met.select(host_col, path_col, F.array_max(fitting).alias("best")).where("best is not null").groupBy(host_col, path_col).agg(F.max("best").alias("best"))
+    return best.select(host_col, path_col, F.col("best.ruled").alias("ruled"))
+
+
 def gram_buckets(host: Column, path: Column) -> Column:
     """Buckets of the character n-grams of host and path, repeats included. Their ends are marked."""
 
@@ -118,18 +144,25 @@ def default_labelled(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
-def judge(pages: DataFrame, model: UrlModel, rules=RULES, url_col: str = "url", threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, model: UrlModel, rules=RULES, url_col: str = "url", threshold: float = THRESHOLD) -> DataFrame:
     """``pages`` without its other new names, plus host, path, rule, verdict (allow or block) and score.
 
-    The longest fitting rule decides; where none fits, a score of ``threshold`` or more blocks. Null urls and those
-    without :// have an empty host and path and are judged like others; repeated rows stay. A column of
-    ``pages`` that has the name of a new one is replaced.
+    The longest fitting rule decides (of equally long ones the last); where none fits, a score of ``threshold`` or more blocks. Null urls and
+    those without :// have an empty host and path and are judged like others; null ids and repeated rows stay. A column of
+    ``pages`` that has the name of a new one is replaced. Up to ``MOST_IN_PLAN`` rules are one expression; more are joined.
     """
     new = {"host", "path", "rule", "verdict", "score"}
     carried = [c for c in pages.columns if c.lower() not in new]
     buckets, by_rule = (own_column(pages, n) for n in ("buckets_", "ruled_"))
     df = pages.select(*[F.col(f"`{c}`") for c in carried], host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
-    df = df.select("*", ruled(F.col("host"), F.col("path"), rules).alias(by_rule), gram_buckets(F.col("host"), F.col("path")).alias(buckets))
+    if len(rules) <= MOST_IN_PLAN:
+        df = df.select("*", ruled(F.col("host"), F.col("path"), rules).alias(by_rule))
+    else:
+        here = df.select("host", "path")
+        own_host, own_path = (own_column(pages, n) for n in ("host_", "path_"))
+        found = ruled_by_join(here, rules).select(F.col("host").alias(own_host), F.col("path").alias(own_path), F.col("ruled").alias(by_rule))
+        df = df.join(found, (F.col("host") == F.col(own_host)) & (F.col("path") == F.col(own_path)), "left").drop(own_host, own_path)
+    df = df.select("*", gram_buckets(F.col("host"), F.col("path")).alias(buckets))
     df = df.select("*", model.score(F.col(buckets)).alias("score"))
     learned = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return df.select(*[f"`{c}`" for c in carried], "host", "path", F.col(f"{by_rule}.rule").alias("rule"), F.coalesce(f"{by_rule}.verdict", learned).alias("verdict"), "score")
