@@ -1,7 +1,7 @@
 """Quality scores by voting of nearest neighbours among labelled latent-semantic vectors.
 
-The terms of a text are pairs of neighbouring characters, by class, and the share of words that repeat the word before
-them. Square roots of the terms' shares, less their mean over labelled texts, are projected on the leading singular vectors of
+The terms of a text are its pairs of neighbouring characters, of any script, hashed; the share of words that repeat the word before
+them; and the share of distinct words. Square roots of the terms' shares, less their mean over labelled texts, are projected on the leading singular vectors of
 the labelled texts' matrix. The labelled vectors, a bounded number, are broadcast. Each document's cosine with every
 labelled vector is computed exactly, in blocks of matrix products; the nearest vote with weights that grow with their similarity.
 """
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from sparkset.llm.shared import keep, map_arrow, own_column, read_table, read_texts, slices
 
-#: Labelled texts of each label that fit the model; beyond it, those with the smallest hashes of their ids.
-MOST_LABELLED = 2000
+#: Labelled ids that fit the model; beyond it, those with the smallest hashes, whatever their labels, so that shares of labels stay true.
+MOST_LABELLED = 4000
 DIMENSIONS = 48
 NEIGHBOURS = 25
 #: A neighbour's weight is its similarity to this power.
@@ -28,45 +28,39 @@ SHARPNESS = 6
 THRESHOLD = 0.3
 
 
+#: Pairs are hashed to so many terms; added are words that repeat the word before, and distinct words.
+PAIRS = 1021
+TERMS = PAIRS + 2
+_FACTOR = 0x9E3779B1
+
+
 def _character_classes() -> np.ndarray:
-    """Class of each byte: small letters one by one, capitals, digits, white space, marks one by one, other bytes by their high bits."""
-    classes = np.zeros(256, np.int64)
-    for b in range(256):
-        c = chr(b)
-        if b >= 128:
-            classes[b] = 1 + (b >> 4 & 3)
-        elif c.islower():
-            classes[b] = 5 + b - ord("a")
-        elif c.isupper():
-            classes[b] = 31
-        elif c.isdigit():
-            classes[b] = 32
-        elif c in "\n\r":
-            classes[b] = 33
-        elif c in " \t":
-            classes[b] = 34
-    marks = [b for b in range(33, 127) if not chr(b).isalnum()]
-    classes[marks] = 35 + np.arange(len(marks))
+    """Class of each code point of the first plane: capitals of ASCII, digits and kinds of white space are one each; others are themselves."""
+    classes = np.arange(1 << 16, dtype=np.uint32)
+    classes[ord("A") : ord("Z") + 1] = 1
+    classes[ord("0") : ord("9") + 1] = 2
+    classes[[ord(c) for c in "\n\r"]] = 3
+    classes[[ord(c) for c in " \t"]] = 4
     return classes
 
 
 _CLASSES = _character_classes()
-_N = int(_CLASSES.max()) + 1
-#: Pairs of classes are hashed to so many terms; added are words that repeat the word before, and distinct words.
-PAIRS = 1021
-TERMS = PAIRS + 2
-_PAIR_TERM = np.arange(_N * _N) % PAIRS
+
+
+def pair_terms(text: str) -> np.ndarray:
+    """How often each hashed pair of neighbouring characters occurs."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = _CLASSES[points] if len(points) and points.max() < 1 << 16 else np.where(points < 1 << 16, _CLASSES[points & 0xFFFF], points)
+    return np.bincount((c[:-1] * np.uint32(_FACTOR) + c[1:]) % np.uint32(PAIRS), minlength=PAIRS)
 
 
 def term_shares(text: str | None) -> np.ndarray:
     """Square roots of the shares of a text's terms; all zero where it is empty."""
-    raw = (text or "").encode()
+    text = text or ""
     out = np.zeros(TERMS, np.float32)
-    if len(raw) > 1:
-        c = _CLASSES[np.frombuffer(raw, np.uint8)]
-        pairs = np.bincount(c[:-1] * _N + c[1:], minlength=_N * _N)
-        out[:-2] = np.sqrt(np.bincount(_PAIR_TERM, pairs, minlength=PAIRS) / (len(raw) - 1))
-    words = raw.split()
+    if len(text) > 1:
+        out[:-2] = np.sqrt(pair_terms(text) / (len(text) - 1))
+    words = text.encode("utf-8", "surrogatepass").split()
     if words:
         out[-2] = sum(map(eq, words, words[1:])) / len(words)
         out[-1] = 0.3 * len(set(words)) / len(words)
@@ -117,21 +111,21 @@ def _shares_of(texts: pa.Array) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> Neighbours:
-    """Fit on ``labelled`` (ids and labels 0 or 1; null ones don't count), at most ``most`` of each label.
+    """Fit on ``labelled`` (ids and labels 0 or 1; null ones don't count), at most ``most`` ids and labels.
 
     Where there are more, those with the smallest hashes of their ids are taken. Ids labelled both ways count both ways; ids
-    without a document don't count.
+    without a document don't count, and of several documents with one id one counts.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
-    chosen = rows.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(most).unionAll(rows.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(most))
-    chosen = F.broadcast(keep(chosen))  # 2 * most rows
+    chosen = F.broadcast(keep(rows.orderBy(F.xxhash64("id"), "id", "label").limit(most)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _shares_of(batch.column(1))], pa.binary())], names=["label", "shares"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([x.tobytes() for x in _shares_of(batch.column(2))], pa.binary())], names=["id", "label", "shares"])
 
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
-    found = map_arrow(texts.select("label", "text"), run, "label int, shares binary").toArrow()
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select("id", "label", "text")
+    kind = texts.schema["id"].dataType.simpleString()
+    found = map_arrow(texts, run, f"id {kind}, label int, shares binary").groupBy("id", "label").agg(F.min("shares").alias("shares")).select("label", "shares").toArrow()
     shares = np.frombuffer(b"".join(x.as_py() for x in found.column("shares")), np.float32).reshape(-1, TERMS)
     order = np.lexsort((*shares.T[::97], found.column("label").to_numpy())) if len(shares) else []
     return Neighbours.fit(shares[order], found.column("label").to_numpy()[order].astype(np.float64))
