@@ -56,11 +56,15 @@ def shaped(d: Dataset, shape) -> Dataset:
     return Dataset(df.withColumnRenamed("pos", POS), (Key(POS),), name=d.name, metadata=d.metadata)
 
 
-def load(spark: SparkSession, name: str, source: Source, split: str | None = None, sample_size: int | None = None, subjects: Sequence[str] | None = None) -> Dataset:
-    """A catalogued dataset as canonical rows, from a source that has its repository."""
+def load(spark: SparkSession, name: str, source: Source, split: str | None = None, sample_size: int | None = None, subjects: Sequence[str] | None = None, config: str | None = None) -> Dataset:
+    """A catalogued dataset as canonical rows, from a source that has its repository.
+
+    Files are read from ``config``, or else from the configuration that the catalogue names; a catalogue's ``default``, ``all`` and ``stem`` name no
+    folder of their own, and leave the choice to the repository.
+    """
     entry = registry.get_metadata(name)
     split = split or ("test" if name in ("math_500", "mmlu", "mmlu_stem", "humaneval") else "train")
-    raw = load_dataset(spark, entry.repo, None if entry.config in ("all", "stem") else None, split, source=source)
+    raw = load_dataset(spark, entry.repo, config or (None if entry.config in ("all", "stem", "default") else entry.config), split, source=source)
     if entry.shape == "multiple_choice":
         wanted = list(subjects) if subjects else list(STEM_SUBJECTS) if name == "mmlu_stem" else None
         # positions are counted among the wanted subjects
@@ -70,7 +74,7 @@ def load(spark: SparkSession, name: str, source: Source, split: str | None = Non
         made = shaped(raw, shapes.SHAPES[entry.shape])
     else:
         made = shaped(raw, lambda df: shapes.SHAPES[entry.shape](df, name))
-    notes = {"source": f"hub:{entry.repo}", "license": entry.license, "domain": entry.domain, "split": split}
+    notes = {"source": f"hub:{entry.repo}", "config": config or entry.config, "license": entry.license, "domain": entry.domain, "split": split}
     made = Dataset(made.frame, made.order, name=name, metadata=notes)
     return made.take(sample_size) if sample_size else made
 

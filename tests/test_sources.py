@@ -166,7 +166,17 @@ def test_named_loading(spark, tmp_path):
     d = loader.load(spark, "gsm8k", hub.HubSource(client, str(tmp_path / "c")))
     got = rows(d)
     assert got[0]["id"] == "gsm8k_0" and got[0]["expected"]["answer"] == 1234.0 and got[1]["metadata"] == {"complexity": 1, "difficulty": "easy"}
-    assert d.metadata["license"] == "MIT"
+    assert d.metadata["license"] == "MIT" and d.metadata["config"] == "main"
+    (tmp_path / "openai/gsm8k/hard").mkdir()
+    (tmp_path / "openai/gsm8k/hard/train.jsonl").write_text('{"question": "h", "answer": "#### 5"}\n')
+    (tmp_path / "openai/gsm8k/default").mkdir()
+    (tmp_path / "openai/gsm8k/default/train.jsonl").write_text('{"question": "d", "answer": "#### 6"}\n')
+    assert len(loader.load(spark, "gsm8k", hub.HubSource(client, str(tmp_path / "c")))) == 2  # the catalogue's, not the repository's own choice
+    assert rows(loader.load(spark, "gsm8k", hub.HubSource(client, str(tmp_path / "c")), config="hard"))[0]["expected"]["answer"] == 5.0
+    (tmp_path / "nvidia/HelpSteer3/data").mkdir(parents=True)
+    (tmp_path / "nvidia/HelpSteer3/data/train.jsonl").write_text("{}\n")
+    with pytest.raises(KeyError, match="no configuration"):
+        loader.load(spark, "helpsteer3", hub.HubSource(client, str(tmp_path / "c")))
     text = '{"question": "q", "answer": "#### 7"}\noops\n{"question": "z", "answer": "x"}'
     from sparkset.functions import shapes
 
