@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import dataclasses
 import random
+import tempfile
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -19,7 +21,7 @@ from sparkset.operators import allocate
 from sparkset.plans.order import POS, Key, densify, from_parquet_files, hidden, sort_exprs, term_order
 
 RowFunction = Callable[[dict], Any]
-#: Rows whose permutation the driver may hold (8 bytes each).
+#: Rows whose permutation the driver holds in memory (8 bytes each); a longer one is drawn in a file of the driver's.
 MOST_PERMUTED = 500_000_000
 
 
@@ -311,17 +313,26 @@ class Dataset:
 
     # -- rows ---------------------------------------------------------------------------------------------------
 
-    def filter(self, predicate: Column | RowFunction) -> Dataset:
-        """Rows where an expression is true, or where a Python function of the row is truthy (neither None nor False)."""
+    def filter(self, predicate: Column | RowFunction, cache=None, new_fingerprint: str | None = None) -> Dataset:
+        """Rows where an expression is true, or where a Python function of the row is truthy (neither None nor False).
+
+        With a ``TableCache`` the rows are written, or read where they have been written by the same operation on the same data.
+        """
+        if cache is not None:
+            return self._through(cache, new_fingerprint, "filter", [predicate], lambda: self.filter(predicate))
         if isinstance(predicate, Column):
             return self._with(self.frame.where(predicate))
         return self._with(self._mapped(lambda row, _: [row] if truthy(predicate(row)) else [], self.frame.schema, index=False))
 
-    def map(self, function: Column | Mapping[str, Column] | Callable, schema: Any = None, batched: bool = False, batch_size: int = 1000) -> Dataset:
+    def map(self, function: Column | Mapping[str, Column] | Callable, schema: Any = None, batched: bool = False, batch_size: int = 1000, cache=None, new_fingerprint: str | None = None) -> Dataset:
         """New rows from expressions, or from a Python function of a row, or of a batch (which may return any number of rows).
 
-        Expressions replace or add columns. A Python function needs ``schema``, the visible columns it returns.
+        Expressions replace or add columns. A Python function needs ``schema``, the visible columns it returns. With a ``TableCache`` the rows are
+        written, or read where they have been written by the same operation on the same data, or under the same ``new_fingerprint``.
         """
+        if cache is not None:
+            given = [*function.values(), *function] if isinstance(function, Mapping) else [function]
+            return self._through(cache, new_fingerprint, "map", [*given, str(schema), batched, batch_size], lambda: self.map(function, schema, batched, batch_size))
         if isinstance(function, Mapping):
             return self._with(self.frame.withColumns(dict(function)), n=self.n, is_dense=self.is_dense)
         kind = self.df.schema if schema is None else schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
@@ -416,8 +427,8 @@ class Dataset:
     def shuffle(self, seed: int | None = None, generator: str = "numpy") -> Dataset:
         """A random order. With a seed and ``numpy``, row ``i`` is row ``permutation(n)[i]`` of NumPy's PCG64 generator.
 
-        That permutation is drawn on the driver (8 bytes a row) and joined as a table. The ``hash`` generator orders rows by a
-        seeded hash of their positions, on the executors alone.
+        That permutation is drawn on the driver (8 bytes a row, in a file beyond ``MOST_PERMUTED`` rows) and joined as a table. The ``hash`` generator
+        orders rows by a seeded hash of their positions, on the executors alone.
         """
         if generator not in ("numpy", "hash"):
             raise ValueError(f"unknown generator: {generator}")
@@ -426,9 +437,7 @@ class Dataset:
             seed = random.getrandbits(62) if seed is None else seed
             return d._with(d.frame.withColumn("__r", F.xxhash64(F.col(POS), F.lit(seed))), (Key("__r"), Key(POS)), n=d.n)
         d = self._counted()
-        if d.n > MOST_PERMUTED:
-            raise ValueError(f"a permutation of {d.n} rows does not fit in the driver; use generator='hash'")
-        table = _positions(self.spark, np.random.Generator(np.random.PCG64(seed)).permutation(d.n), np.arange(d.n))
+        table = _permutation(self.spark, d.n, seed)
         return d._with(d.frame.join(table, POS).drop(POS).withColumnRenamed("__out", POS), n=d.n, is_dense=True)
 
     def train_test_split(self, test_size: float | int | None = 0.25, train_size: float | int | None = None, stratify_by: str | None = None, seed: int | None = None, shuffle: bool = True) -> dict[str, Dataset]:
@@ -445,7 +454,7 @@ class Dataset:
             # one row a group: its number of train rows and its place among groups
             schema = T.StructType([T.StructField("__g", d.frame.schema[stratify_by].dataType), T.StructField("__cut", T.LongType()), T.StructField("__place", T.LongType())])
             table = self.spark.createDataFrame([(r["g"], r["n"] - given[r["g"]], i) for i, r in enumerate(sizes)], schema)
-            ranked = d.frame.withColumn("__rank", _rank_in_group(d.frame, stratify_by))
+            ranked = _ranked_in_group(d.frame, stratify_by)
             ranked = ranked.join(F.broadcast(table) if len(sizes) < 100_000 else table, group.eqNullSafe(F.col("__g"))).drop("__g")
             order = (Key("__place"), Key("__rank"))
             parts = d._with(ranked.where("__rank < __cut"), order), d._with(ranked.where("__rank >= __cut"), order)
@@ -488,6 +497,24 @@ class Dataset:
     def drop_index(self, column: str) -> Dataset:
         return dataclasses.replace(self, indices={k: v for k, v in self.indices.items() if k != column})
 
+    def add_to_index(self, column: str, more: Dataset) -> Dataset:
+        """This dataset followed by the rows of ``more``, whose vectors are added to the index on the column; vectors in it are not read again."""
+        if column not in self.indices:
+            raise ValueError(f"no index on {column}")
+        d = self._counted()
+        both = d.concat(more)
+        added = both.frame.where(F.col(POS) >= d.n)
+        return dataclasses.replace(both, indices={**self.indices, column: self.indices[column].add(added, column)})
+
+    def _through(self, cache, name: str | None, operation: str, args: list, make: Callable[[], Dataset]) -> Dataset:
+        from sparkset.plans.fingerprint import combine, generate
+
+        key = name or combine(self.fingerprint, generate(operation, args))
+        found = cache.get(key)
+        if found is None:
+            found = cache.put(key, make().dense().frame)
+        return self._with(found, (Key(POS),), is_dense=True)
+
     def cached(self, cache, *key: Any) -> Dataset:
         """The same rows from a ``TableCache``, written there if they are not yet: under the fingerprint, or under a key of one's own."""
         from sparkset.plans.fingerprint import combine, generate
@@ -512,20 +539,28 @@ class Dataset:
         raise AttributeError(name)
 
 
-def _rank_in_group(frame: DataFrame, column: str) -> Column:
-    """Place of a row in its group. Rows are ranked in blocks of positions, and blocks add up, so a large group fills no task."""
-    block = F.floor(F.col(POS) / 1_000_000)
-    counts = frame.groupBy(F.col(f"`{column}`").alias("g"), block.alias("b")).agg(F.count("*").alias("n")).collect()
-    if len({r["b"] for r in counts}) <= 1:
-        return F.row_number().over(Window.partitionBy(f"`{column}`").orderBy(POS)) - 1
-    starts: dict = {}
-    before: dict = {}
-    for r in sorted(counts, key=lambda r: r["b"]):
-        before[r["g"], r["b"]] = starts.get(r["g"], 0)
-        starts[r["g"]] = starts.get(r["g"], 0) + r["n"]
-    entries = [x for (g, b), n in before.items() if n for x in (F.concat_ws("\x01", F.lit(b), F.lit(g).cast("string")), F.lit(n))]
-    offset = F.coalesce(F.try_element_at(F.create_map(*entries), F.concat_ws("\x01", block, F.col(f"`{column}`").cast("string"))), F.lit(0)) if entries else F.lit(0)
-    return offset + F.row_number().over(Window.partitionBy(f"`{column}`", block).orderBy(POS)) - 1
+def _ranked_in_group(frame: DataFrame, column: str, block: int = 1_000_000) -> DataFrame:
+    """``__rank``, a row's place in its group. Rows are ranked in blocks of positions, and blocks add up in a joined table, so a large group fills no task."""
+    group, at = F.col(f"`{column}`"), F.floor(F.col(POS) / block)
+    before = F.sum("__n").over(Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = frame.groupBy(group.alias("__g"), at.alias("__b")).agg(F.count("*").alias("__n")).select("__g", "__b", F.coalesce(before, F.lit(0)).alias("__before"))
+    here = F.row_number().over(Window.partitionBy(f"`{column}`", "__at").orderBy(POS)) - 1
+    ranked = frame.withColumn("__at", at).withColumn("__here", here).join(counts, group.eqNullSafe(F.col("__g")) & (F.col("__at") == F.col("__b")))
+    return ranked.withColumn("__rank", F.col("__before") + F.col("__here")).drop("__at", "__here", "__g", "__b", "__before")
+
+
+def _permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """The positions of NumPy's seeded permutation of n, as a table; beyond ``MOST_PERMUTED`` in slices of a mapped file."""
+    generator = np.random.Generator(np.random.PCG64(seed))
+    if n <= MOST_PERMUTED:
+        return _positions(spark, generator.permutation(n), np.arange(n))
+    with tempfile.TemporaryFile() as file:  # the driver's own: only slices of it are sent
+        drawn = np.memmap(file, np.int64, "w+", shape=(n,))
+        for at in range(0, n, MOST_PERMUTED):
+            drawn[at : at + MOST_PERMUTED] = np.arange(at, min(n, at + MOST_PERMUTED))
+        generator.shuffle(drawn)  # which is what permutation(n) does
+        slices = [_positions(spark, np.array(drawn[at : at + MOST_PERMUTED]), np.arange(at, min(n, at + MOST_PERMUTED))) for at in range(0, n, MOST_PERMUTED)]
+    return reduce(DataFrame.unionAll, slices)
 
 
 def _positions(spark: SparkSession, given: np.ndarray, out: np.ndarray) -> DataFrame:

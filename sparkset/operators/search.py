@@ -166,6 +166,11 @@ class VectorIndex:
         v = F.col(f"`{column}`").cast("array<double>")
         return cls(frame.where(v.isNotNull()).select(POS, (_unit(v) if metric == "cosine" else v).alias("vector")), metric)
 
+    def add(self, frame: DataFrame, column: str) -> VectorIndex:
+        """This index and the vectors of more rows, whose positions must not be in it yet."""
+        more = VectorIndex.build(frame, column, self.metric)
+        return dataclasses.replace(self, vectors=self.vectors.unionByName(more.vectors))
+
     def search(self, query: Sequence[float], k: int = 10) -> list[tuple[int, float]]:
         """Positions and scores of the k nearest, best first."""
         metric = "inner_product" if self.metric == "cosine" else self.metric

@@ -66,17 +66,18 @@ def from_parquet_files(df: DataFrame) -> DataFrame:
 
 
 def densify(df: DataFrame, order: tuple[Key, ...]) -> tuple[DataFrame, int, DataFrame]:
-    """Replace the order by a dense position 0..n-1; also the number of rows, and the persisted frame.
+    """Replace the order by a dense position 0..n-1; also the number of rows, and the frame that was kept.
 
-    The rows are range-partitioned and sorted once and persisted; a second job counts each partition, and a row's position
-    is its place in the partition plus the rows of those before. Nothing passes through a single task.
+    The rows are range-partitioned and sorted once; a second job counts each partition, and a row's position
+    is its place in the partition plus the rows of those before. Nothing passes through a single task. The sorted rows are written to
+    the checkpoint folder, so that a lost executor can't change which rows a partition has; where the session has none, they are persisted.
     """
     placed = df.orderBy(*sort_exprs(order)).select(
         *[F.col(f"`{c}`") for c in df.columns if not c.startswith("__")],
         F.spark_partition_id().alias("__part"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("__row"),
     )
-    placed = placed.persist()
+    placed = placed.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else placed.persist()
     counts = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     offsets, total = [], 0
     for part in range(max(counts, default=-1) + 1):

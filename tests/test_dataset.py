@@ -213,3 +213,48 @@ def test_plans_scale(spark):
     assert "TakeOrderedAndProject" in plan(d.take(5))
     for made in (d.skip(5), d.shard(4, 1), d.shuffle(1), d.unique("id")):
         assert "SinglePartition" not in plan(made) and "Window" not in plan(made)
+
+
+def test_ranks_add_up_over_blocks(spark):
+    from sparkset.operators.dataset import _ranked_in_group
+
+    given = [(i, None if i % 7 == 0 else "ab"[i % 3 % 2]) for i in range(100)]
+    seen, want = {}, {}
+    for i, g in given:
+        want[i] = seen[g] = seen.get(g, -1) + 1
+    frame = spark.createDataFrame(given, "__pos long, g string").repartition(5)
+    for block in (1, 10, 1000):
+        made = _ranked_in_group(frame, "g", block)
+        assert made.columns == ["__pos", "g", "__rank"] and {r["__pos"]: r["__rank"] for r in made.collect()} == want
+
+
+def test_long_permutations_are_drawn_in_slices(spark, monkeypatch):
+    from sparkset.operators import dataset
+
+    d = Dataset.from_list(spark, [{"a": i} for i in range(23)])
+    want = [r["a"] for r in d.shuffle(seed=42).to_list()]
+    monkeypatch.setattr(dataset, "MOST_PERMUTED", 5)
+    assert [r["a"] for r in d.shuffle(seed=42).to_list()] == want == np.random.Generator(np.random.PCG64(42)).permutation(23).tolist()
+
+
+def test_cached_operations(spark, tmp_path):
+    from sparkset.plans.cache import TableCache
+
+    cache, d = TableCache(spark, str(tmp_path)), Dataset.from_list(spark, [{"a": i} for i in range(20)])
+    odd = lambda row: row["a"] % 2 == 1
+    first = d.filter(odd, cache=cache)
+    again = d.filter(odd, cache=cache)
+    assert [r["a"] for r in again.to_list()] == [r["a"] for r in first.to_list()] == list(range(1, 20, 2)) and (cache.hits, cache.misses) == (1, 1)
+    assert [r["a"] for r in d.filter(F.col("a") > 17, cache=cache).to_list()] == [18, 19] and cache.misses == 2
+    doubled = d.map(lambda row: {"a": row["a"] * 2}, cache=cache, new_fingerprint="doubled")
+    assert "doubled" in cache.list() and [r["a"] for r in doubled.to_list()] == list(range(0, 40, 2))
+    assert [r["a"] for r in d.map({"a": F.col("a") * 9}, cache=cache, new_fingerprint="doubled").to_list()] == list(range(0, 40, 2))
+
+
+def test_adding_to_an_index(spark):
+    some = Dataset.from_list(spark, [{"v": [1.0, 0.0]}, {"v": [0.0, 1.0]}]).add_index("v")
+    both = some.add_to_index("v", Dataset.from_list(spark, [{"v": [0.6, 0.8]}, {"v": None}, {"v": [3.0, 0.1]}]))
+    scores, found = both.get_nearest_examples("v", [1.0, 0.0], 2)
+    assert [r["v"] for r in found] == [[1.0, 0.0], [3.0, 0.1]] and scores[0] == 1.0
+    with pytest.raises(ValueError, match="no index"):
+        both.drop_index("v").add_to_index("v", some)
