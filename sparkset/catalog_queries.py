@@ -6,7 +6,6 @@ Each is one operator on a whole table, ordered by the table's natural key; ``pos
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +18,8 @@ from sparkset.functions import features as ft
 from sparkset.operators import allocate, sampler, search
 from sparkset.operators.dataset import Dataset
 from sparkset.operators.splits import SplitDict
-
+from sparkset.plans.cache import TableCache
+from sparkset.session import shared_folder
 from sparkset.sources import formats, registry, sinks
 from sparkset.streaming.iterable import IterableDataset
 
@@ -541,9 +541,11 @@ def shape_preferences(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder in the shared folder of a cluster, or a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = base.removeprefix("file://") if base and base.startswith(("file://", "/")) else tempfile.gettempdir()
+    """A new folder in the one that executors share, as a path; shared folders that are not mounted are refused."""
+    base = shared_folder(spark)
+    if not base.startswith(("file:/", "/")):
+        raise ValueError("these queries write files with Python and need a mounted shared folder")
+    path = "/" + base.removeprefix("file:").lstrip("/")
     os.makedirs(folder := f"{path}/sparkset-files-{uuid.uuid4().hex}")
     return folder
 
@@ -635,6 +637,35 @@ def buffer_shuffle(spark, sf_dir):
     return lazy.data.df.agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
+# -- caches -----------------------------------------------------------------------------------------------------------
+
+
+@_register("SELECT doc_id FROM documents WHERE n_chars % 3 = 0")
+def filter_cached(spark, sf_dir):
+    """A filter whose rows are written by the first run and read by the second."""
+    cache, d = TableCache(spark, _scratch(spark)), _docs(spark, sf_dir, "doc_id", "n_chars")
+    keep = F.col("n_chars") % 3 == 0
+    d.filter(keep, cache=cache)
+    return d.filter(keep, cache=cache).df.select("doc_id")
+
+
+@_register("SELECT doc_id, 2 * n_chars AS twice FROM documents")
+def map_cached_by_name(spark, sf_dir):
+    """A map found by the fingerprint that its first run was given, whatever the function is now."""
+    cache, d = TableCache(spark, _scratch(spark)), _docs(spark, sf_dir, "doc_id", "n_chars")
+    d.map({"twice": F.col("n_chars") * 2}, cache=cache, new_fingerprint="twice")
+    return d.map({"twice": F.lit(0)}, cache=cache, new_fingerprint="twice").df.select("doc_id", "twice")
+
+
+@_register(_knn_many_sql("cosine"))
+def index_add_many(spark, sf_dir):
+    """An index of the rows with even ids, to which the others are added; every row whose id is divisible by 20 asks it."""
+    df = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding").withColumn(search.POS, F.col("vec_id").cast("long"))
+    index = search.VectorIndex.build(df.where("vec_id % 2 = 0"), "embedding").add(df.where("vec_id % 2 = 1"), "embedding")
+    found = index.search_many(df.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
+    return found.select("query_id", "rank", F.col(search.POS).cast(df.schema["vec_id"].dataType).alias("vec_id"), (F.round("score", 6) + 0.0).alias("score"))
+
+
 # -- catalogue --------------------------------------------------------------------------------------------------------
 
 

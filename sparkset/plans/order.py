@@ -77,7 +77,7 @@ def densify(df: DataFrame, order: tuple[Key, ...]) -> tuple[DataFrame, int, Data
         F.spark_partition_id().alias("__part"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("__row"),
     )
-    placed = placed.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else placed.persist()
+    placed = placed.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else placed.persist()
     counts = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     offsets, total = [], 0
     for part in range(max(counts, default=-1) + 1):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +35,17 @@ def offline_mode(spark: SparkSession) -> bool:
 
 def cache_dir(spark: SparkSession) -> str:
     return get(spark, "cache.dir")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` or the context names it; a temporary one only where all run on one machine."""
+    context = spark.sparkContext
+    option = context._jsc.sc().getCheckpointDir()
+    found = context.getConf().get("spark.checkpoint.dir") or (option.get() if option.isDefined() else None)
+    if found:
+        return found.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="sparkset-")
+    context.setCheckpointDir(made)
+    return made

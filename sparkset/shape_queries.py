@@ -109,6 +109,18 @@ def repository_splits(spark, sf_dir):
     return loader.load_dataset(spark, folder).counted()
 
 
+@_register("SELECT 'gsm8k_' || rn AS id, CAST(doc_id AS DOUBLE) AS answer FROM " + _RN)
+def load_by_name_and_config(spark, sf_dir):
+    """A catalogued dataset: of a repository with several configurations, the one that the catalogue names."""
+    d, folder = _docs(spark, sf_dir, "doc_id"), _scratch(spark)
+    for config, shift in (("default", 1), ("main", 0), ("zebra", 2)):
+        os.makedirs(f"{folder}/openai/gsm8k/{config}")
+        rows = d.map({"question": F.lit("q"), "answer": F.concat(F.lit("#### "), (F.col("doc_id") + shift).cast("string"))}).select(["question", "answer"])
+        sinks.to_jsonl(rows, f"{folder}/openai/gsm8k/{config}/train.jsonl")
+    made = loader.load(spark, "gsm8k", hub.HubSource(hub.FolderClient(folder), f"{folder}/cache"))
+    return made.with_position().select("id", F.col("expected.answer").alias("answer"))
+
+
 @_register("SELECT doc_id, lang FROM documents")
 def hub_round_trip(spark, sf_dir):
     """Shards pushed to a hub in a folder, and loaded from it."""
