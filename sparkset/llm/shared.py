@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkset.session import shared_folder
+
 #: White space that separates words: the space and the five ASCII controls from tab to carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -33,27 +34,13 @@ def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A temporary one is set only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _context_dir(spark)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sparkset-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def _context_dir(spark: SparkSession) -> str | None:
-    option = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return option.get() if option.isDefined() else None
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: the rows outlive the executors that made them. The files go when Python exits, or by ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sparkset-tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sparkset-tables/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
