@@ -115,7 +115,7 @@ def delete(repo: str, client: Client, config: str) -> list[str]:
 
 
 class HubSource:
-    """A hub's files as a source: downloaded to a folder once."""
+    """A hub's files as a source: downloaded to a folder once for each revision that the client reads."""
 
     def __init__(self, client: Client, folder: str):
         self.client, self.folder = client, folder
@@ -132,10 +132,12 @@ class HubSource:
         return out
 
     def exists(self, repo: str) -> bool:
-        return bool(self.client.list_files(repo))
+        return self.client.exists(repo) if hasattr(self.client, "exists") else bool(self.client.list_files(repo))
 
     def cache_path(self, repo: str, path: str) -> str:
-        return os.path.join(self.folder, repo.replace("/", "--"), path)
+        revision = getattr(self.client, "revision", "main")
+        at = repo.replace("/", "--") + ("" if revision == "main" else "@" + revision.replace("/", "--"))
+        return os.path.join(self.folder, at, path)
 
     def cached(self, repo: str, path: str) -> bool:
         return os.path.exists(self.cache_path(repo, path))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Sequence
 
@@ -14,6 +15,7 @@ from sparkset.operators.dataset import Dataset
 from sparkset.operators.splits import SplitDict
 from sparkset.plans.order import POS, Key
 from sparkset.sources import formats, registry
+from sparkset.sources.hub import HubSource
 from sparkset.sources.resolve import LocalSource, Source, resolve
 
 #: Subjects of the science subset of the multiple-choice benchmark.
@@ -24,11 +26,17 @@ STEM_SUBJECTS = (
 )
 
 
-def load_dataset(spark: SparkSession, repo: str, config: str | None = None, split: str | None = None, streaming: bool = False, source: Source | None = None, max_files: int | None = None):
-    """Files of a repository: a split as a dataset (lazy with ``streaming``), or all splits. No file is left out unless ``max_files`` says so."""
+def load_dataset(spark: SparkSession, repo: str, config: str | None = None, split: str | None = None, streaming: bool = False, source: Source | None = None, max_files: int | None = None, revision: str | None = None, token: str | None = None):
+    """Files of a repository: a split as a dataset (lazy with ``streaming``), or all splits. No file is left out unless ``max_files`` says so.
+
+    ``revision`` and ``token`` are those of a hub's client, and take the place of what the source's has.
+    """
     if streaming and split is None:
         raise ValueError("streaming needs a split")
     source = source or LocalSource()
+    if revision or token:
+        changes = {k: v for k, v in (("revision", revision), ("token", token)) if v}
+        source = HubSource(dataclasses.replace(source.client, **changes), source.folder)
     _, found = resolve([f["path"] for f in source.list_files(repo)], config, split)
     made = {}
     for name, paths in found.items():

@@ -213,3 +213,76 @@ def test_streams(spark, tmp_path):
     assert sorted(i for _, i in got) == list(range(4, 10)) and {b for b, _ in got} == {0, 1}
     with pytest.raises(TypeError):
         s.skip(1)
+
+
+def test_http_hub(spark, tmp_path):
+    """The HTTP interface, spoken by a server in this process: pages of listings, revisions, tokens, commits, redirects."""
+    import base64
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import unquote
+
+    from sparkset.sources.http_hub import HttpClient, HubError
+
+    store, seen = {"main": {}, "v1": {"data/train.jsonl": b'{"a": 1}\n', "data/test.jsonl": b'{"a": 2}\n', "README.md": b"x"}}, []
+
+    class Hub(BaseHTTPRequestHandler):
+        def answer(self, status, body=b"{}", **headers):
+            self.send_response(status)
+            for k, v in ({"Content-Length": str(len(body))} | headers).items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):
+            seen.append((self.path, self.headers.get("Authorization")))
+            path, _, query = self.path.partition("?")
+            parts = [unquote(p) for p in path.strip("/").split("/")]
+            if "me/data" not in unquote(path) and parts[0] != "cdn":
+                return self.answer(404)
+            if parts[0] == "cdn":
+                return self.answer(200, store[parts[1]]["/".join(parts[2:])])
+            if parts[0] == "datasets":  # downloads are sent on
+                return self.answer(302, Location=f"http://localhost:{self.server.server_port}/cdn/{parts[4]}/{'/'.join(parts[5:])}")
+            files = [{"type": "file", "path": p, "size": len(b)} for p, b in sorted(store[parts[5]].items())]
+            if parts[4] == "revision":
+                return self.answer(200, json.dumps({"id": "me/data", "cardData": {"configs": [{"config_name": "one"}] if parts[5] == "main" else None}}).encode())
+            at = int(query.split("cursor=")[1]) if "cursor=" in query else 0
+            more = {"Link": f'<http://127.0.0.1:{self.server.server_port}{path}?cursor={at + 2}>; rel="next"'} if at + 2 < len(files) else {}
+            self.answer(200, json.dumps([*files[at : at + 2], {"type": "directory", "path": "data"}]).encode(), **more)
+
+        def do_POST(self):
+            seen.append((self.path, self.headers.get("Authorization")))
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            if self.path.endswith("/create"):
+                return self.answer(409)
+            operation = json.loads(body.split(b"\n")[1])
+            value = operation["value"]
+            if operation["key"] == "file":
+                store["main"][value["path"]] = base64.b64decode(value["content"])
+            else:
+                del store["main"][value["path"]]
+            self.answer(200)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Hub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        client = HttpClient(f"http://127.0.0.1:{server.server_port}", token="secret")
+        names = hub.push(Dataset.from_list(spark, [{"a": i} for i in range(5)]), "me/data", client)
+        assert names == ["default/train/data-00000-of-00001.parquet"] and client.configs("me/data") == ["one"]
+        source = hub.HubSource(client, str(tmp_path))
+        assert source.exists("me/data") and not source.exists("you/none")
+        assert sorted(r["a"] for r in load_dataset(spark, "me/data", split="train", source=source).to_list()) == list(range(5))
+        old = load_dataset(spark, "me/data", source=source, revision="v1", token="other")
+        assert {k: [r["a"] for r in d.to_list()] for k, d in old.items()} == {"train": [1], "test": [2]}
+        v1 = HttpClient(client.endpoint, "v1")
+        assert v1.configs("me/data") == ["default"] and b"".join(v1.stream("me/data", "data/test.jsonl", 3)) == b'{"a": 2}\n'
+        assert hub.delete("me/data", client, "default") == names and client.list_files("me/data") == ["README.md"]
+        with pytest.raises(HubError, match="404"):
+            client.info("you/none")
+        assert ("Bearer other" in {t for p, t in seen if "v1" in p}) and all(t is None for p, t in seen if p.startswith("/cdn"))
+    finally:
+        server.shutdown()
