@@ -2,23 +2,27 @@
 
 Every prefix of a piece of text has one BPE encoding, and the encoding of the whole is reached by following,
 from the end, the last token of each prefix. A token can be the last one of a prefix when it is a suffix of it
-(found by a suffix automaton over the vocabulary) and when it is compatible with the last token of what stands
+(found by the suffix automaton of the vocabulary) and when it is compatible with the last token of what stands
 before it: merging the two as BPE would, no merge crosses their border. Exactly one token passes both tests.
+
+The driver builds the encoder and broadcasts it; its size depends on the vocabulary alone. As it is built, the bytes of each token are merged one by
+one: only tokens that come out are matched, and a piece that is one of them is looked up.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from struct import pack
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkset.llm.shared import map_arrow, read_texts, slices
+from sparkset.llm.suffix_automaton import SuffixAutomaton
 
 #: How the public byte-level vocabularies cut text before merging (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,11 +61,9 @@ class PrefixEncoder:
             self.made_from.setdefault(whole, (rank, left, right))
         self.compatible: dict[tuple[int, int], bool] = {}
         self.old_compatible: dict[tuple[int, int], bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for token, i in self.id_of.items():
-            if len(token) == 1 or i in self.made_from:
-                self.automaton.add_word(token.decode("latin-1"), (len(token), i))
-        self.automaton.make_automaton()
+        #: Tokens that merging their own bytes makes; no other one is ever the last token of a prefix.
+        self.whole = {token: i for token, i in self.id_of.items() if self._merged(token) == [i]}
+        self.automaton = SuffixAutomaton(self.whole.items())
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.token_bytes |= {i: t.encode() for t, i in self.added.items()}
         named = "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))
@@ -70,6 +72,16 @@ class PrefixEncoder:
         self.packed: dict[str, bytes] = {}
         self.old_packed: dict[str, bytes] = {}
 
+    def _merged(self, token: bytes) -> list[int]:
+        """Encoding by merges, one after the other."""
+        ids = [self.id_of[token[i : i + 1]] for i in range(len(token))]
+        while len(ids) > 1:
+            rank, at = min((self.merge_rank.get(pair, len(self.merge_rank)), i) for i, pair in enumerate(zip(ids, ids[1:])))
+            if rank == len(self.merge_rank):
+                break
+            ids[at : at + 2] = [self.id_of[self.token_bytes[ids[at]] + self.token_bytes[ids[at + 1]]]]
+        return ids
+
     def are_compatible(self, left: int, right: int) -> bool:
         """True if BPE leaves the border between the two tokens in place.
 
@@ -104,21 +116,35 @@ class PrefixEncoder:
                 bound, b, a_undone = last_b[0], last_b[1], False
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        whole = self.id_of.get(piece)
-        if whole is not None and (whole in self.made_from or len(piece) == 1):
-            return [whole]
+        whole = self.whole.get(piece)
+        return self._by_prefixes(piece) if whole is None else [whole]
+
+    def _by_prefixes(self, piece: bytes) -> list[int]:
         n = len(piece)
         last: list[int] = [-1] * (n + 1)
         start: list[int] = [0] * (n + 1)
+        step, links, longest, ends, known = self.automaton.step, self.automaton.links, self.automaton.longest, self.automaton.ends, self.compatible
         test = self.are_compatible
-        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            end += 1
-            if last[end] >= 0:
-                continue
-            before = end - length
-            if before and not test(last[before], token):
-                continue
-            last[end], start[end] = token, before
+        state = length = 0
+        for end, c in enumerate(piece, 1):
+            follows = step.get(state << 8 | c)
+            while follows is None:
+                state = links[state]
+                if state < 0:
+                    raise ValueError("the vocabulary has no token for a byte")
+                length = longest[state]
+                follows = step.get(state << 8 | c)
+            state, length = follows, length + 1
+            for size, token in ends[state]:
+                if size > length:
+                    continue
+                before = end - size
+                if before:
+                    fits = known.get((last[before], token))
+                    if not (test(last[before], token) if fits is None else fits):
+                        continue
+                last[end], start[end] = token, before
+                break
         ids = []
         while n:
             ids.append(last[n])
@@ -153,31 +179,24 @@ class PrefixEncoder:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_encoders: dict[int, PrefixEncoder] = {}
-
-
-def _encoder(vocabulary) -> PrefixEncoder:
-    text = vocabulary.value
-    key = hash(text)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = PrefixEncoder(text)
-    return _encoders[key]
+@lru_cache(maxsize=2)
+def encoder_of(vocabulary_json: str) -> PrefixEncoder:
+    return PrefixEncoder(vocabulary_json)
 
 
 def encode_decode(documents: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``ids`` (binary: the token ids as little-endian unsigned 32-bit integers) and ``decoded`` of every text.
 
     Null texts count as empty and have no ids; null ids of rows are carried along; repeated rows stay. Other
-    columns of ``documents`` are not read. The driver reads the vocabulary file and broadcasts its text, whose
+    columns of ``documents`` are not read. The driver reads the vocabulary file and broadcasts the encoder, whose
     size does not depend on the data. Strings of added tokens in a text become those tokens.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
-        vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
+        shared = documents.sparkSession.sparkContext.broadcast(encoder_of(f.read()))
     kind = documents.schema[id_col].dataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
+        encoder = shared.value
         for part in slices(batches):
             packed = [encoder.encode_packed(t.as_py() or "") for t in part.column(1)]
             yield pa.RecordBatch.from_arrays(
