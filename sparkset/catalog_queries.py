@@ -350,9 +350,12 @@ def random_sample_size(spark, sf_dir):
     return sampler.random(_docs(spark, sf_dir, "doc_id"), 100, seed=3).df.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_distinct"))
 
 
-@_register("SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents")
+@_register("SELECT doc_id, true AS moved FROM documents")
 def sampler_shuffle(spark, sf_dir):
-    return sampler.shuffle(_docs(spark, sf_dir, "doc_id"), 5).df.agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    """Every row once, and not in the order given."""
+    made = sampler.shuffle(_docs(spark, sf_dir, "doc_id"), 5).with_position()
+    ranked = made.join(_docs(spark, sf_dir, "doc_id").with_position().select("doc_id", F.col("pos").alias("rank")), "doc_id")
+    return ranked.select("doc_id", F.lit(not ranked.where("pos != rank").isEmpty()).alias("moved"))
 
 
 # -- vector search ----------------------------------------------------------------------------------------------------
@@ -631,10 +634,13 @@ def stream_filter_map(spark, sf_dir):
     return spark.read.schema("event_id long, twice double").parquet(f"file://{folder}/out")
 
 
-@_register("SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents")
+@_register("SELECT doc_id, false AS too_early FROM documents")
 def buffer_shuffle(spark, sf_dir):
-    lazy = IterableDataset.from_dataset(_docs(spark, sf_dir, "doc_id")).shuffle_partitions(64, seed=9)
-    return lazy.data.df.agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    """Every row once, and none more than a buffer before its place."""
+    d = _docs(spark, sf_dir, "doc_id")
+    made = IterableDataset.from_dataset(d).shuffle_partitions(64, seed=9).data.with_position()
+    placed = made.join(d.with_position().select("doc_id", F.col("pos").alias("rank")), "doc_id")
+    return placed.select("doc_id", (F.col("rank") - F.col("pos") > 63).alias("too_early"))
 
 
 # -- caches -----------------------------------------------------------------------------------------------------------

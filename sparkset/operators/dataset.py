@@ -144,6 +144,15 @@ class Dataset:
     def to_list(self) -> list[dict]:
         return [r.asDict(recursive=True) for r in self.ordered().collect()]
 
+    def __contains__(self, row: Mapping[str, Any]) -> bool:
+        """Whether a row has just these columns and values."""
+        if set(row) != set(self.column_names):
+            return False
+        schema = T.StructType([self.frame.schema[c] for c in row])
+        asked = self.spark.createDataFrame([tuple(row.values())], schema)
+        same = [self.df[f"`{c}`"].eqNullSafe(asked[f"`{c}`"]) for c in row]
+        return not asked.join(self.df, reduce(Column.__and__, same), "left_semi").isEmpty()
+
     def to_dict(self, columns: Sequence[str] | None = None) -> dict[str, list]:
         rows = self.to_list()
         names = [c for c in (columns or self.column_names) if c in self.column_names]

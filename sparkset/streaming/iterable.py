@@ -52,7 +52,8 @@ class IterableDataset:
     def _plain(self) -> bool:
         return self.data is not None and not self.steps
 
-    def map(self, function: Mapping[str, Column] | Callable[[dict], Any]) -> IterableDataset:
+    def map(self, function: Mapping[str, Column] | Callable[[dict], Any], schema: Any = None) -> IterableDataset:
+        """New items from expressions or a Python function. With ``schema``, the columns it returns, a function of a dataset's rows runs on the executors."""
         if isinstance(function, Mapping):
             if self.stream is not None:
                 return dataclasses.replace(self, stream=self.stream.withColumns(dict(function)))
@@ -61,6 +62,8 @@ class IterableDataset:
             raise TypeError("expressions apply before Python functions")
         if self.stream is not None:
             raise TypeError("on a stream, map takes expressions; use map_batches for Python")
+        if schema is not None and self._plain():
+            return dataclasses.replace(self, data=self.data.map(function, schema))
         return self._step(lambda rows: (function(r) for r in rows))
 
     def map_batches(self, function: Callable[[Iterator], Iterator], schema: Any) -> IterableDataset:
@@ -79,6 +82,8 @@ class IterableDataset:
             raise TypeError("expressions apply before Python functions")
         if self.stream is not None:
             raise TypeError("on a stream, filter takes expressions")
+        if self._plain():  # on the executors
+            return dataclasses.replace(self, data=self.data.filter(predicate))
         return self._step(lambda rows: (r for r in rows if truthy(predicate(r))))
 
     def skip(self, n: int) -> IterableDataset:

@@ -2,7 +2,7 @@ import pytest
 from conftest import SF, same_rows
 
 from sparkset import catalog_queries as core
-from sparkset import shape_queries  # noqa: F401
+from sparkset import feature_queries, shape_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
