@@ -3,9 +3,12 @@
 The index holds the test items; a passage is the query, and BM25 adds up the impacts that its distinct terms have in
 an item. The threshold of an item is the least score that a passage has which verifies it: its score for its own text, less
 the largest impacts of as many terms as the shingles that may be missing can hide. Items are stored
-in blocks; of each term the index knows the largest impact in a block. As in block-max WAND, a passage skips a
-block if its terms' block maxima don't add up to the least score that an item of the block needs; items that need alike
-scores share a block. Nothing above the threshold is lost.
+in blocks, and items that need alike scores share a block. Of each term the index has a posting list of blocks, with its largest impact in each.
+
+As in block-max WAND, lists are walked only where they can matter, for all passages of a stretch of text at once. The terms with the longest lists, which are
+the common ones of small impact, are taken at their largest impact anywhere at first; the lists of the others are walked and their block
+maxima added up. Where that reaches what an item of the block needs, the block is a pivot: there the long lists are looked up too, and if the block maxima
+still add up, the items of the block are scored. All other blocks are skipped. Nothing above the threshold is lost.
 
 Passages overlap by half and are at least twice as long as the longest item, so an item stands in some passage whole.
 Retrieved items are verified: the passage must hold the item's question and its answer (its last sentence), each
@@ -29,9 +32,9 @@ K1, B = 1.2, 0.75
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 16
-#: Block maxima that an index may hold; beyond it, blocks are larger.
-MOST_MAXIMA = 8_000_000
 PASSAGE = 96
+#: Bounds of passages and blocks that are added up at once.
+AT_ONCE = 100_000
 #: Bytes of items that are broadcast at once; more items are asked in several passes.
 MOST_BYTES = 16_000_000
 
@@ -91,67 +94,92 @@ class Index:
                 own = np.sort(impact[by_item[i] : by_item[i + 1]])
                 needed[i] = own[: max(0, len(own) - sum(map(most_missing, parts[i])))].sum() - 1e-9
         # items that need alike scores share a block
-        self.blocks = max(1, min(-(-n // BLOCK), MOST_MAXIMA // (n_terms + 1)))
-        self.size = -(-n // self.blocks) if n else 1
+        self.blocks = max(1, -(-n // BLOCK))
         place = np.empty(n, np.int64)
         place[np.argsort(needed, kind="stable")] = np.arange(n)
         self.at = np.argsort(place)
-        self.needed = np.full(self.blocks * self.size, np.inf)
+        self.needed = np.full(self.blocks * BLOCK, np.inf)
         self.needed[place] = needed
-        self.block_needed = self.needed.reshape(self.blocks, self.size).min(1)
-        block = place[item] // self.size if n else item
-        # largest impact of each term in each block; the last row is for unknown terms
-        self.maxima = np.zeros((n_terms + 1, self.blocks), np.float32)
-        np.maximum.at(self.maxima, (t, block), np.nextafter(impact.astype(np.float32), np.float32(np.inf)))
+        self.block_needed = self.needed.reshape(self.blocks, BLOCK).min(1) - 1e-4
+        block = place[item] // BLOCK if n else item
         order = np.argsort(block * (n_terms + 1) + t, kind="stable")
-        self.key, self.place, self.impact = (block * (n_terms + 1) + t)[order], (place[item] % self.size if n else item)[order], impact[order]
-        self.kind = np.int16 if n_terms < 32_000 else np.int32
+        self.key, self.place, self.impact = (block * (n_terms + 1) + t)[order], (place[item] % BLOCK if n else item)[order], impact[order]
+        # posting lists: blocks of each term, and its largest impact in each
+        self.n_terms = n_terms
+        order = np.argsort(t * self.blocks + block, kind="stable")
+        listed = (t * self.blocks + block)[order]
+        first = np.flatnonzero(np.concatenate(([True], listed[1:] != listed[:-1]))) if len(listed) else np.empty(0, np.int64)
+        self.list_block = listed[first] % self.blocks
+        self.list_max = np.maximum.reduceat(impact[order], first) if len(first) else np.empty(0)
+        self.list_at = np.searchsorted(listed[first], np.arange(n_terms + 1) * self.blocks)
+        self.list_size = np.diff(self.list_at)
+        long = np.flatnonzero(2 * self.list_size > self.blocks)
+        self.term_max = np.maximum.reduceat(self.list_max, self.list_at[:-1]) if n_terms else np.empty(0)
+        self.long_row = np.full(n_terms, -1)
+        self.long_row[long] = np.arange(len(long))
+        self.long_max = np.zeros((len(long), self.blocks))  # at most twice as large as the lists
+        if len(long):
+            own, row = spread(self.list_at[long], self.list_size[long])
+            self.long_max[row, self.list_block[own]] = self.list_max[own]
         self.half = max(PASSAGE // 2, *map(len, texts), 1) if texts else PASSAGE // 2
+        self.stretch = max(16, AT_ONCE // self.blocks)
 
     def retrieve(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
         """Items of a block that a passage with these distinct terms reaches, and their scores."""
-        keys = block * len(self.maxima) + terms
+        keys = block * (self.n_terms + 1) + terms
         low = np.searchsorted(self.key, keys)
-        counts = np.searchsorted(self.key, keys, "right") - low
-        postings = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        score = np.bincount(self.place[postings], self.impact[postings], minlength=self.size)
-        return [(int(self.at[block * self.size + i]), float(score[i])) for i in np.flatnonzero(score >= self.needed[block * self.size :][: self.size])]
+        postings, _ = spread(low, np.searchsorted(self.key, keys, "right") - low)
+        score = np.bincount(self.place[postings], self.impact[postings], minlength=BLOCK)
+        return [(int(self.at[block * BLOCK + i]), float(score[i])) for i in np.flatnonzero(score >= self.needed[block * BLOCK :][:BLOCK])]
 
     def alive(self, ids: np.ndarray) -> np.ndarray:
-        """Passages and blocks whose maxima reach what the block needs. A passage is two halves; a term counts once in it."""
-        n, halves = len(ids), -(-len(ids) // self.half)
-        order = np.argsort(ids, kind="stable")
-        before = np.full(n, -1)
-        again = ids[order[1:]] == ids[order[:-1]]
-        before[order[1:][again]] = order[:-1][again]
-        own = np.arange(n) // self.half * self.half
-        padded = np.zeros((halves * self.half, self.blocks), np.float32)
-        maxima = self.maxima[ids]
-        sums = []
-        for first in (before < own, before < own - self.half):
-            np.multiply(maxima, first[:, None], out=padded[:n])
-            sums.append(padded.reshape(halves, self.half, self.blocks).sum(1, dtype=np.float64))
-        bound = sums[0] if halves == 1 else sums[0][:-1] + sums[1][1:]
-        return np.argwhere(bound >= self.block_needed - 1e-4)
+        """(passage, block) of the blocks whose maxima reach what the block needs. A passage is two halves; a term counts once in it."""
+        half = np.arange(len(ids)) // self.half
+        passages = max(1, int(half[-1]))
+        known = ids < self.n_terms
+        first, second = known & (half < passages), known & (half > 0)
+        codes = np.concatenate((half[first] * self.n_terms + ids[first], (half[second] - 1) * self.n_terms + ids[second]))
+        passage, term = np.divmod(np.unique(codes), max(1, self.n_terms))
+        row = self.long_row[term]
+        short, long = row < 0, row >= 0
+        postings, of = spread(self.list_at[term[short]], self.list_size[term[short]])
+        bound = np.bincount(passage[short][of] * self.blocks + self.list_block[postings], self.list_max[postings], minlength=passages * self.blocks)
+        most = np.bincount(passage[long], self.term_max[term[long]], minlength=passages)
+        pivots = np.flatnonzero((bound.reshape(passages, self.blocks) + most[:, None] >= self.block_needed).ravel())
+        if not len(pivots):
+            return np.empty((0, 2), np.int64)
+        # there the long lists are looked up
+        row, at = row[long], np.searchsorted(passage[long], np.arange(passages + 1))
+        where, block = np.divmod(pivots, self.blocks)
+        probed, of = spread(at[where], at[where + 1] - at[where])
+        exact = bound[pivots] + np.bincount(of, self.long_max[row[probed], block[of]], minlength=len(pivots))
+        return np.stack((where, block), 1)[exact >= self.block_needed[block]]
 
     def matches(self, text: str | None) -> dict[int, tuple[float, float, float]]:
         """Verified items of a text: item to score, share of the question and share of the answer, of its best passage."""
         words, found = terms_of(text), {}
         if not words or not self.ids:
             return found
-        unknown = len(self.term)
-        ids = np.fromiter(map(self.term.get, words, repeat(unknown)), self.kind, len(words))
-        for passage, block in self.alive(ids).tolist():
-            at = slice(passage * self.half, (passage + 2) * self.half)
-            for item, score in self.retrieve(np.unique(ids[at]).astype(np.int64), block):
-                here, (question, answer) = words[at], self.parts[item]
-                held = shingles_in(here)
-                q, a = share(question, held, here), share(answer, held, here)
-                if q >= OVERLAP and a >= OVERLAP and (item not in found or (q + a, score) > (sum(found[item][1:]), found[item][0])):
-                    found[item] = (score, q, a)
+        ids = np.fromiter(map(self.term.get, words, repeat(self.n_terms)), np.int64, len(words))
+        # stretches of whole passages: of each, the last half begins the next
+        for begin in range(0, max(1, len(ids) - self.half), self.stretch * self.half):
+            for passage, block in self.alive(ids[begin : begin + (self.stretch + 1) * self.half]).tolist():
+                at = slice(begin + passage * self.half, begin + (passage + 2) * self.half)
+                for item, score in self.retrieve(np.unique(ids[at]), block):
+                    here, (question, answer) = words[at], self.parts[item]
+                    held = shingles_in(here)
+                    q, a = share(question, held, here), share(answer, held, here)
+                    if q >= OVERLAP and a >= OVERLAP and (item not in found or (q + a, score) > (sum(found[item][1:]), found[item][0])):
+                        found[item] = (score, q, a)
         return found
 
 
+def spread(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item the numbers first, first + 1, ..., as many as counted; and the item of each."""
+    item = np.repeat(np.arange(len(counts)), counts)
+    return first[item] + np.arange(len(item)) - (np.cumsum(counts) - counts)[item], item
+
+
 def shingles_in(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
