@@ -1,10 +1,11 @@
-"""Arrow IPC files as a Spark data source. A partition is one record batch of one file, read by memory map."""
+"""Arrow IPC files as a Spark data source. A partition is one record batch of one file, read by memory map, or from a store that Arrow reaches."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -16,7 +17,10 @@ class Batch(InputPartition):
 
 
 def opened(path: str) -> pa.ipc.RecordBatchFileReader:
-    return pa.ipc.open_file(pa.memory_map(path.removeprefix("file://")))
+    if "://" not in path or path.startswith("file://"):
+        return pa.ipc.open_file(pa.memory_map(path.removeprefix("file://")))
+    store, inner = fs.FileSystem.from_uri(path)
+    return pa.ipc.open_file(store.open_input_file(inner))
 
 
 class ArrowFiles(DataSource):

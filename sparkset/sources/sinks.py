@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,8 +115,14 @@ def _batches(d: Dataset, rows: int) -> tuple[pa.Schema, Iterator[pa.RecordBatch]
     return schema, made()
 
 
-def to_arrow(d: Dataset, path: str, compression: str | None = None, batch_rows: int = 10_000, stream: bool = False) -> None:
-    """An Arrow IPC file, or with ``stream`` the IPC stream format; compression: lz4 or zstd."""
+def to_arrow(d: Dataset, path: str, compression: str | None = None, batch_rows: int = 10_000, stream: bool = False, sharded: bool = False) -> None:
+    """An Arrow IPC file, or with ``stream`` the IPC stream format; compression: lz4 or zstd.
+
+    With ``sharded``, ``path`` is a folder that all executors reach, and each writes the files of its partitions, which are named in the order of rows.
+    """
+    if sharded:
+        _arrow_shards(d, path, compression, stream)
+        return
     schema, batches = _batches(d, batch_rows)
     open_writer = pa.ipc.new_stream if stream else pa.ipc.new_file
     with open_writer(_made(path), schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as writer:
@@ -123,6 +130,30 @@ def to_arrow(d: Dataset, path: str, compression: str | None = None, batch_rows:
             writer.write_batch(batch)
 
 
+def _arrow_shards(d: Dataset, folder: str, compression: str | None, stream: bool) -> None:
+    from pyspark import TaskContext
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(d.df.schema)
+    address = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+    store, inner = fs.FileSystem.from_uri(address)
+    store.create_dir(inner)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, (store, inner) = TaskContext.get(), fs.FileSystem.from_uri(address)
+        name, rows = f"part-{task.partitionId():05d}", 0
+        unfinished = f"{inner}/_{name}-{task.taskAttemptId()}"  # of this attempt alone: tasks are repeated
+        open_writer = pa.ipc.new_stream if stream else pa.ipc.new_file
+        with store.open_output_stream(unfinished) as file, open_writer(file, schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as writer:
+            for batch in batches:
+                writer.write_table(pa.Table.from_batches([batch]).cast(schema))
+                rows += batch.num_rows
+        store.move(unfinished, f"{inner}/{name}.{'arrows' if stream else 'arrow'}")
+        yield pa.RecordBatch.from_pydict({"rows": [rows]})
+
+    d.ordered().mapInArrow(write, "rows long").collect()  # a number for each partition
+
+
 def to_text(d: Dataset, path: str, column: str = "text", append_newline: bool = True, sharded: bool = False) -> None:
     """One value a line; a null is an empty line."""
     if column not in d.column_names:

@@ -286,3 +286,12 @@ def test_http_hub(spark, tmp_path):
         assert ("Bearer other" in {t for p, t in seen if "v1" in p}) and all(t is None for p, t in seen if p.startswith("/cdn"))
     finally:
         server.shutdown()
+
+
+def test_arrow_shards(spark, tmp_path):
+    d = Dataset.from_list(spark, [{"a": i, "b": [str(i)] if i % 3 else None} for i in range(50)]).sort("a", "desc")
+    d.to_arrow(str(tmp_path / "shards"), compression="zstd", sharded=True)
+    names = sorted(os.listdir(tmp_path / "shards"))
+    assert names and all(n.startswith("part-") and n.endswith(".arrow") for n in names)
+    back = from_arrow(spark, [str(tmp_path / "shards" / n) for n in names])
+    assert back.to_list() == d.to_list()
