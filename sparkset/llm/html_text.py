@@ -7,7 +7,8 @@ the two are aligned by longest common subsequence, and a line that both have is
 too. Marks are a check after that: what the page itself marks as its article is its own and stays, also where a neighbour quotes or
 copies it; what it marks as menus, headers, footers, sidebars, adverts, forms or comments goes in any case.
 
-To give every page its neighbours, the driver takes a bounded sample of keys to cut their order into ranges. Where a host goes on in the
+To give every page its neighbours, the driver takes a sample of keys to cut their order into ranges of about ``RANGE_BYTES``; tasks look keys up in the
+broadcast cuts by bisection. Where a host goes on in the
 next range, the page at the cut and the nearest one with other lines, from whichever range, are sent across, both ways. They are found from
 keys and hashes of the lines; only hosts that are cut are read for it.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 from sparkset.llm.shared import keep, map_arrow, own_column, read_texts, release, slices
 
-#: Keys sampled to cut the order of pages into ranges.
-SAMPLE = 4000
+#: Bytes of html in a range. Beyond ``MOST_RANGES`` of them, ranges grow: the driver holds ``SAMPLE`` keys for each.
+RANGE_BYTES = 16_000_000
+MOST_RANGES = 20_000
+SAMPLE = 20
 
 #: Elements of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -226,39 +230,49 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     key, copy, part, body = (own_column(pages, n) for n in ("key_", "copy_", "part_", "body_"))
     host, path = host_and_path(F.col(f"`{url_col}`"))
     # U+0001 sorts a host before those that it begins; the id and a hash break ties
-    order = F.concat_ws("\x01", host, path, F.lpad(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), 20, "0"), F.hex(F.xxhash64(F.coalesce(F.col(f"`{html_col}`"), F.lit("")))))
     light = F.concat_ws("\x01", host, path, F.lpad(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), 20, "0"))
+    order = F.concat_ws("\x01", light, F.hex(F.xxhash64(F.coalesce(F.col(f"`{html_col}`"), F.lit("")))))
     keys = pages.select(light.alias("key"))
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    total = keys.count()
-    sample = sorted({r["key"].encode() for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, total // SAMPLE))) == 0).limit(4 * SAMPLE).collect()})
-    cuts = [k.decode() for k in sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)})] if sample else []
-    where = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col("key")))
-    rows = keys.select("key", where.alias("part")).groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last")).orderBy("part").collect()
-    ghosts = _across(pages, light, order, F.col(f"`{html_col}`").cast("string"), where, rows)
-    sent = F.create_map(*[x for k, parts in ghosts.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(parts))))]) if ghosts else None
-    to_parts = F.coalesce(F.try_element_at(sent, F.col(copy)), F.array().cast("array<int>")) if ghosts else F.array().cast("array<int>")
+    total, size = pages.agg(F.count("*"), F.sum(F.octet_length(F.col(f"`{html_col}`").cast("string")))).first()
+    ranges = min(MOST_RANGES, max((size or 0) // RANGE_BYTES + 1, min(total, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    wanted = max(4000, SAMPLE * ranges)
+    sample = sorted({r["key"].encode() for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, total // wanted))) == 0).limit(4 * wanted).collect()})
+    cuts = spark.sparkContext.broadcast(sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else [])
+
+    def ends_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[bytes, bytes]] = {}
+        for batch in batches:
+            for k in map(str.encode, batch.column(0).to_pylist()):
+                at = bisect_right(cuts.value, k)
+                first, last = found.get(at, (k, k))
+                found[at] = min(first, k), max(last, k)
+        if found:
+            firsts, lasts = zip(*found.values())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([x.decode() for x in firsts]), pa.array([x.decode() for x in lasts])], names=["part", "first", "last"])
+
+    rows = keys.mapInArrow(ends_of, "part int, first string, last string").groupBy("part").agg(F.min("first").alias("first"), F.max("last").alias("last")).orderBy("part").collect()
+    sent = spark.sparkContext.broadcast(_across(pages, light, order, F.col(f"`{html_col}`").cast("string"), cuts, rows))
 
     df = pages.select(*[F.col(f"`{c}`") for c in carried], order.alias(key), light.alias(copy), F.col(f"`{html_col}`").cast("string").alias(body))
-    schema = df.withColumn(body, F.lit(b"")).schema
+    schema = df.select(*[F.col(f"`{c}`") for c in carried], key, F.lit(None).cast("array<struct<ghost:boolean,part:int>>").alias(copy), F.lit(b"").alias(body)).schema
     at_text = len(carried) + 2
+    copies_of = pa.list_(pa.struct([("ghost", pa.bool_()), ("part", pa.int32())]))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                packed = []
-                for page in piece.column(at_text):
+                packed, copies = [], []
+                for place, page in zip(piece.column(at_text - 1).to_pylist(), piece.column(at_text)):
                     lines, kinds = lines_of(page.as_py())
                     packed.append(pack("\n".join(f"{k}{x}" for x, k in zip(lines, kinds)).encode("utf-8", "surrogatepass")))
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(packed, pa.binary())], names=piece.schema.names)
+                    copies.append([{"ghost": False, "part": bisect_right(cuts.value, place.encode())}, *({"ghost": True, "part": p} for p in sorted(sent.value.get(place, ())))])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-2], pa.array(copies, copies_of), pa.array(packed, pa.binary())], names=piece.schema.names)
 
     lined = map_arrow(df, read, schema)
-    here = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col(copy)))
-    copies = F.concat(F.array(F.struct(F.lit(False).alias("ghost"), here.alias("part"))), F.transform(to_parts, lambda p: F.struct(F.lit(True).alias("ghost"), p.alias("part"))))
-    dealt = lined.select(*[F.col(f"`{c}`") for c in carried], key, body, F.explode(copies).alias(copy)).select(*[F.col(f"`{c}`") for c in carried], key, body, F.col(f"{copy}.ghost").alias(copy), F.col(f"{copy}.part").alias(part))
-    dealt = dealt.repartition(part).sortWithinPartitions(part, key)
+    dealt = lined.select(*[F.col(f"`{c}`") for c in carried], key, body, F.explode(copy).alias(copy)).select(*[F.col(f"`{c}`") for c in carried], key, body, F.col(f"{copy}.ghost").alias(copy), F.col(f"{copy}.part").alias(part))
+    dealt = dealt.repartition(max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))), part).sortWithinPartitions(part, key)
     at_key = len(carried)
     out_schema = pages.select(*[F.col(f"`{c}`") for c in carried], F.lit("").alias("text")).schema
 
@@ -304,21 +318,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return map_arrow(dealt, difference, out_schema)
 
 
-def _across(pages: DataFrame, light: Column, order: Column, body: Column, where: Column, rows: list) -> dict[str, set[int]]:
+def _across(pages: DataFrame, light: Column, order: Column, body: Column, cuts, rows: list) -> dict[str, set[int]]:
     """Keys of the pages that other ranges need, with those ranges. ``rows``: part, first and last key of each range that has pages."""
     ends = [(r["part"], r["first"].split("\x01")[0], r["last"].split("\x01")[0]) for r in rows]
     cut = [i for i in range(1, len(ends)) if ends[i - 1][2] == ends[i][1]]
     if not cut:
         return {}
     host = F.substring_index("key", "\x01", 1)
-    near = pages.select(light.alias("key"), order.alias("at"), body.alias("body")).where(host.isin(sorted({ends[i][1] for i in cut})))
+    names = sorted({ends[i][1] for i in cut})
+    hosts = pages.sparkSession.createDataFrame([(n,) for n in names], "host string")  # as many as ranges at most
+    near = pages.select(light.alias("key"), order.alias("at"), body.alias("body")).withColumn("host", host).join(F.broadcast(hosts), "host").select("key", "at", "body", "host")
 
     def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = [xxhash.xxh3_128_digest("\n".join(lines_of(page.as_py())[0]).encode("utf-8", "surrogatepass")) for page in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], names=["key", "at", "lines"])
+            parts = [bisect_right(cuts.value, k.encode()) for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary()), batch.column(3), pa.array(parts, pa.int32())], names=["key", "at", "lines", "host", "part"])
 
-    seen = keep(map_arrow(near, told, "key string, at string, lines binary").select(where.alias("part"), host.alias("host"), F.struct("at", "key", "lines").alias("page")))
+    seen = keep(map_arrow(near, told, "key string, at string, lines binary, host string, part int").select("part", "host", F.struct("at", "key", "lines").alias("page")))
     outer = keep(seen.groupBy("part", "host").agg(F.min("page").alias("first"), F.max("page").alias("last")))
     other = lambda end: F.when(F.col("page.lines") != F.col(f"{end}.lines"), F.col("page"))
     inner = seen.join(F.broadcast(outer), ["part", "host"]).groupBy("part", "host").agg(F.min(other("first")).alias("first"), F.max(other("last")).alias("last"))
