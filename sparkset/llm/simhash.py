@@ -9,6 +9,10 @@ A task compares the members of a bucket, up to ``BUCKET`` of them. Larger bucket
 meet at midpoints. Two values within the radius have a value between them that lies within half the radius of both, and all values
 around one midpoint are within the radius of each other; so each member names the values around it, whatever the size of
 its buckets a fixed number (2081 at radius 4), and is linked to the least member that names the same one. No bucket is capped.
+
+Texts of which four shingles in five are alike differ in few bits if shingles are short and in many if they are long, and a large radius needs many tables. So
+``keep_first``, which wants five-word shingles to be alike, finds pairs of texts by fingerprints of word pairs, within a radius of 6 (127 tables), and verifies
+each link by the exact share of five-word shingles that the two texts have in common.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ from sparkset.llm.shared import keep, map_arrow, own_column, read_texts, release
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
+#: Fingerprints by which ``keep_first`` finds pairs: words in a shingle and differing bits.
+FOUND = (2, 6)
+#: Words in the shingles that verify a pair, and the share of the shingles of both that both must have.
+VERIFIED = (5, 0.8)
 #: Members of a bucket that a task compares with each other; those of larger buckets meet at midpoints.
 BUCKET = 65_536
 
@@ -54,13 +62,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits((seen @ _BITS_OF) * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``id_col`` and ``fp`` (the fingerprint's bits as a signed long) of each row."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
+            made = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=[id_col, "fp"])
 
     return map_arrow(documents.select(F.col(id_col), F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, fp long")
@@ -78,46 +86,51 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def spread(group: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A star for each set of members that are linked, directly or through others: (first member, other member)."""
-    rest, out = group, []
+def spread(group: np.ndarray, radius: int, names: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A tree for each set of members that are linked, directly or through others: pairs within the radius, by their names if there are any."""
+    rest, called, out = group, group if names is None else names, []
     while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        front = [root]
+        front, rest, called = [(rest[0], called[0])], rest[1:], called[1:]
         while front and len(rest):
-            near = np.bitwise_count(rest ^ front.pop()) <= radius
+            at, name = front.pop()
+            near = np.bitwise_count(rest ^ at) <= radius
             if near.any():
-                found = rest[near]
-                rest = rest[~near]
-                front += list(found)
-                out += [(int(root), int(x)) for x in found]
+                front += zip(rest[near], called[near])
+                out += [(int(name), int(x)) for x in called[near]]
+                rest, called = rest[~near], called[~near]
     return out
 
 
 def _linked_in_buckets(buckets: DataFrame, radius: int) -> DataFrame:
-    """Rows (mask, key, fp) to links (a, b) that join all members of a bucket which the radius joins."""
+    """Rows (mask, key, fp and perhaps name) to links (a, b), pairs within the radius that join all members of a bucket which the radius joins."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
+
+        def linked_now() -> list[tuple[int, int]]:
+            fp, *names = (np.concatenate(x) for x in zip(*held)) if held else [np.empty(0, np.uint64)]
+            return spread(fp, radius, *names)
+
         for batch in batches:
-            mask, key, fp = (batch.column(i).to_numpy() for i in range(3))
-            fp = fp.view(np.uint64)
+            mask, key, *values = (batch.column(i).to_numpy() for i in range(batch.num_columns))
+            values = [v.view(np.uint64) for v in values]
             cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(fp)]))
+            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(mask)]))
             links: list[tuple[int, int]] = []
             # the first and last group may go on in other batches; of those between, only the ones with several members matter
-            for g in sorted({0, len(starts) - 1} | set(np.flatnonzero(ends - starts > 1).tolist())) if len(fp) else []:
-                part, here = fp[starts[g] : ends[g]], (int(mask[starts[g]]), int(key[starts[g]]))
+            for g in sorted({0, len(starts) - 1} | set(np.flatnonzero(ends - starts > 1).tolist())) if len(mask) else []:
+                part, here = [v[starts[g] : ends[g]] for v in values], (int(mask[starts[g]]), int(key[starts[g]]))
                 if here != at:
-                    links += spread(np.concatenate(held), radius) if held else []
+                    links += linked_now()
                     at, held = here, []
                 held.append(part)
             if links:
                 yield _link_batch(links)
-        if held and (links := spread(np.concatenate(held), radius)):
+        if links := linked_now():
             yield _link_batch(links)
 
-    return map_arrow(buckets.repartition("mask", "key").sortWithinPartitions("mask", "key"), run, "a long, b long")
+    # members of a bucket stand in one order in all tables, so that these give the same links again and again
+    return map_arrow(buckets.repartition("mask", "key").sortWithinPartitions(*buckets.columns), run, "a long, b long")
 
 
 def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -134,33 +147,35 @@ def around(radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _linked_at_midpoints(members: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that join all values of ``fp`` which the radius joins, by the values between them."""
+    """Links (a, b), pairs within the radius that join all members which the radius joins, by the values between them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips, nearer = around(radius)
         for batch in slices(batches, 16):
-            fp = batch.column(0).to_numpy()
+            fp, name = (batch.column(i).to_numpy() for i in range(2))
             middle = (fp.view(np.uint64)[:, None] ^ flips).ravel().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(middle), pa.array(np.repeat(fp, len(flips))), pa.array(np.tile(nearer, len(fp)))], names=["middle", "fp", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(middle), pa.array(np.repeat(name, len(flips))), pa.array(np.tile(nearer, len(fp)))], names=["middle", "name", "near"])
 
-    named = keep(map_arrow(members.select("fp"), run, "middle long, fp long, near boolean"))
-    least = named.groupBy("middle").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.count("*").alias("n")).where("n > 1 and a is not null").select("middle", "a")
-    found = keep(named.join(least, "middle").where("a != fp").select("a", F.col("fp").alias("b")).distinct())
+    name = F.col("name" if "name" in members.columns else "fp").alias("name")
+    named = keep(map_arrow(members.select("fp", name), run, "middle long, name long, near boolean"))
+    least = named.groupBy("middle").agg(F.min(F.when(F.col("near"), F.col("name"))).alias("a"), F.count("*").alias("n")).where("n > 1 and a is not null").select("middle", "a")
+    found = keep(named.join(least, "middle").where("a != name").select("a", F.col("name").alias("b")).distinct())
     release(named)
     return found
 
 
 def linked(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between values of ``fp`` whose components are those of all pairs within the radius."""
+    """Links (a, b) between values of ``fp``, or of ``name`` if there is one: pairs within the radius whose components are those of all such pairs."""
+    values = [c for c in ("fp", "name") if c in distinct.columns]
     deal = F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in table_masks(radius)]))
-    rows = distinct.select("fp", deal.alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+    rows = distinct.select(*values, deal.alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), *values)
     large = keep(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("mask", "key"))
     if large.isEmpty():
         release(large)
-        return keep(_linked_in_buckets(rows, radius))
+        return keep(_linked_in_buckets(rows, radius).distinct())
     small = _linked_in_buckets(rows.join(large, ["mask", "key"], "left_anti"), radius)
-    at_midpoints = _linked_at_midpoints(rows.join(large, ["mask", "key"], "left_semi").select("fp").distinct(), radius)
-    found = keep(small.unionAll(at_midpoints))
+    at_midpoints = _linked_at_midpoints(rows.join(large, ["mask", "key"], "left_semi").select(*values).distinct(), radius)
+    found = keep(small.unionAll(at_midpoints).distinct())
     release(large)
     release(at_midpoints)
     return found
@@ -186,15 +201,66 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.join(label, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, shingle: int = VERIFIED[0]) -> np.ndarray:
+    """Hashes of a text's distinct shingles, sorted; of fewer words the whole sequence, and none of an empty text."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))), np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _verified(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links whose texts are alike by ``VERIFIED``. ``texts``: name and text, of all that have a link."""
+    shingle, least = VERIFIED
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())], names=["name", "shingles"])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            read = lambda x: np.frombuffer(x.as_py(), np.uint64)
+            alike = [similarity(read(x), read(y)) >= least for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+
+    sets = keep(map_arrow(texts, cut, "name long, shingles binary"))
+    side = lambda end: sets.select(F.col("name").alias(end), F.col("shingles").alias(f"of_{end}"))
+    both = links.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "of_a", "of_b")
+    found = keep(map_arrow(both, compare, "a long, b long"))
+    release(sets)
+    return found
+
+
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first row, by id, of each component; rows without an id stay.
+    """The first row, by id, of each group of near-duplicates; rows without an id stay.
 
-    One id may stand on several texts: each is judged in its own component, and of one component's texts with the first id one stays.
+    Texts are linked if fingerprints of word pairs find them (``FOUND``) and enough five-word shingles are alike (``VERIFIED``), A-Z lower-cased; verified are the
+    links that join each bucket, so that of three texts and more two that are alike can go unlinked if neither is like the one between them. Equal texts are one, null and
+    blank ones a group. One id may stand on several texts: each is judged in its own group, and of one group's texts with the first id one stays.
     """
-    row, mark = own_column(documents, "row_"), own_column(documents, "mark_")
-    named = documents.withColumn(row, F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"))))
-    marks = near_duplicates(named.select(row, text_col), row, text_col)
-    first = keep(marks.where(F.col(row) == F.col("component_id")).select(F.col(row).alias(mark)).distinct()).hint("merge")  # it grows with the documents
+    row, mark, name = own_column(documents, "row_"), own_column(documents, "mark_"), own_column(documents, "name_")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = documents.withColumn(row, F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text"))))
+    docs = keep(fingerprints(named.where(F.col(row).isNotNull()).select(row, text_col), row, text_col, FOUND[0]))
+    distinct = keep(docs.groupBy(F.col(f"{row}.text").alias("name")).agg(F.min("fp").alias("fp"), F.min(row).alias("first")))
+    release(docs)
+    links = linked(distinct, FOUND[1])
+    asked = links.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(distinct, "name").select(F.col("first").alias(mark), F.col("name").alias(name))
+    texts = named.join(asked.hint("merge"), F.col(row) == F.col(mark)).select(F.col(name).alias("name"), text.alias("text")).dropDuplicates(["name"])
+    verified = _verified(links, texts)
+    release(links)
+    stars = connected_components(verified)
+    release(verified)
+    first = keep(distinct.join(stars.withColumnRenamed("node", "name"), "name", "left").groupBy(F.coalesce("root", "name")).agg(F.min("first").alias(mark)).select(mark))
+    release(distinct)
+    release(stars)
+    first = first.hint("merge")  # it grows with the documents
     return named.join(first, F.col(row) == F.col(mark), "left_semi").dropDuplicates([row]).drop(row).unionByName(documents.where(F.col(id_col).isNull()))
 
 

@@ -53,18 +53,51 @@ def test_line_stage(stages):
     assert all(r["n_chars"] == len(r["text"]) for r in stages[2])
 
 
-def test_near_duplicate_stage(stages):
-    rows = stages[2]
-    prints = [simhash.fingerprint(r["text"]) for r in rows]
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
+def grouped(n, alike):
+    """The first member of each member's group, by all pairs."""
+    group = list(range(n))
+    for i in range(n):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4 and group[i] != group[j]:
+            if group[i] != group[j] and alike(i, j):
                 a, b = sorted((group[i], group[j]))
                 group = [a if g == b else g for g in group]
+    return group
+
+
+def test_near_duplicate_stage(stages):
+    rows = stages[2]
+    prints, sets = [simhash.fingerprint(r["text"], simhash.FOUND[0]) for r in rows], [simhash.shingle_set(r["text"]) for r in rows]
+    group = grouped(len(rows), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= simhash.FOUND[1] and simhash.similarity(sets[i], sets[j]) >= simhash.VERIFIED[1])
     assert ids(stages[3]) == [rows[g]["doc_id"] for g in sorted(set(group))]
 
 
+def test_near_duplicate_stage_against_similarity(spark):
+    """Of a larger table: what goes is like something that stays, and most near copies by five-word shingles go."""
+    rows = read_table(spark, SF.replace("0.001", "0.01"), "documents").orderBy("doc_id").collect()
+    kept = {r["doc_id"] for r in simhash.keep_first(read_table(spark, SF.replace("0.001", "0.01"), "documents")).collect()}
+    words = [(r["text"] or "").lower().split() for r in rows]
+    cut = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    place = {}
+    for i, c in enumerate(cut):
+        for s in c:
+            place.setdefault(s, []).append(i)
+    best = [0.0] * len(rows)  # similarity to the most alike row
+    copies, wrong = [], []
+    for i, c in enumerate(cut):
+        shared = {}
+        for s in c:
+            for j in place[s]:
+                if j != i:
+                    shared[j] = shared.get(j, 0) + 1
+        alike = {j: n / (len(c) + len(cut[j]) - n) for j, n in shared.items()}
+        best[i] = max(alike.values(), default=0.0)
+        if any(x >= 0.8 and j < i for j, x in alike.items()):
+            copies.append(rows[i]["doc_id"])
+    wrong = [r["doc_id"] for r, b in zip(rows, best) if r["doc_id"] not in kept and b < 0.8]
+    caught = sum(d not in kept for d in copies) / len(copies)
+    assert not wrong and caught >= 0.8, (wrong, caught)
+
+
 def test_decontamination_stage(spark, stages):
     items = [r["text"] for r in read_table(spark, SF, "benchmark").collect()]
     parts = [[decontaminate.shingles(p) for p in decontaminate.question_and_answer(t)] for t in items]

@@ -644,6 +644,35 @@ def test_kept_tables_go(spark):
         spark.read.parquet(path.rsplit("/", 1)[0]).count()
 
 
+def test_verified_groups_against_all_pairs(spark):
+    """Of texts with edits, the first of each group that pairs of fingerprints and then exact shingles join stays."""
+    rng = random.Random(88)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 60, 300]))]
+        for _ in range(rng.randrange(1, 5)):
+            copy = list(words)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(99)}"
+            texts.append(" ".join(copy))
+    texts += [texts[0]] * 3 + ["", None, "  "]
+    cut = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(max(1, len(w) - 4)) if w}
+    sets, prints = [cut(t) for t in texts], [simhash.fingerprint(t, 2) for t in texts]
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    assert all(simhash.similarity(simhash.shingle_set(texts[i]), simhash.shingle_set(texts[j])) == share(sets[i], sets[j]) for i in range(0, len(texts), 3) for j in range(len(texts)))
+    pair = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 6 and share(sets[i], sets[j]) >= 0.8
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and pair(i, j):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = [r["doc_id"] for r in simhash.keep_first(df).orderBy("doc_id").collect()]
+    assert set(kept) >= set(group) and len(set(kept) - set(group)) <= 1  # a text may hang on one that a tree does not ask
+    assert len(set(group)) <= len(texts) - 15
+
+
 def test_simhash_edges(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count() and {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16} == {1}
