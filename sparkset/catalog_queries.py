@@ -200,11 +200,7 @@ def gather_indices(spark, sf_dir):
 @_register("SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 5000 AS batch, o_orderkey FROM orders")
 def batch_rows(spark, sf_dir):
     d = Dataset.from_frame(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
-    parts = [b.df.withColumn("batch", F.lit(i).cast("long")) for i, b in enumerate(d.batch(5000))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    return d.batch(5000).rows()
 
 
 @_register("SELECT rn AS pos, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 - ((n // 7) * 3 + least(3, n % 7)) AS rn, n FROM (SELECT doc_id, count(*) OVER () AS n FROM documents)) WHERE rn >= 0 AND rn < n // 7 + CASE WHEN 3 < n % 7 THEN 1 ELSE 0 END")

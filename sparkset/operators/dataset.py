@@ -394,9 +394,11 @@ class Dataset:
         frame = self.frame.where((F.col(POS) >= start) & (F.col(POS) < end)).withColumn(POS, F.col(POS) - start)
         return self._with(frame, n=max(0, end - start) if self.n is not None else None, is_dense=True)
 
-    def batch(self, size: int) -> list[Dataset]:
-        d = self._counted()
-        return [dataclasses.replace(d._span(i, min(d.n, i + size)), name=f"{self.name}_batch_{k}") for k, i in enumerate(range(0, d.n, size))]
+    def batch(self, size: int) -> Batches:
+        """Consecutive datasets of ``size`` rows, the last one perhaps of fewer."""
+        if size < 1:
+            raise ValueError(f"batches of {size} rows")
+        return Batches(self._counted(), size)
 
     def shard(self, num_shards: int, index: int) -> Dataset:
         """A contiguous shard."""
@@ -548,6 +550,28 @@ class Dataset:
         raise AttributeError(name)
 
 
+@dataclasses.dataclass(frozen=True)
+class Batches(Sequence):
+    """Batches of a dataset whose positions are dense. Each is made as it is asked for; ``rows`` has all of them in one plan, whatever their number."""
+
+    whole: Dataset
+    size: int
+
+    def __len__(self) -> int:
+        return -(-self.whole.n // self.size)
+
+    def __getitem__(self, i: int | slice) -> Dataset | list[Dataset]:
+        if isinstance(i, slice):
+            return [self[k] for k in range(*i.indices(len(self)))]
+        k = range(len(self))[i]
+        start = k * self.size
+        return dataclasses.replace(self.whole._span(start, min(self.whole.n, start + self.size)), name=f"{self.whole.name}_batch_{k}")
+
+    def rows(self, name: str = "batch") -> DataFrame:
+        """The rows of all batches and the number of each row's batch, in no promised order."""
+        return self.whole.frame.select(*[F.col(f"`{c}`") for c in self.whole.column_names if c != name], F.expr(f"`{POS}` div {self.size}").alias(name))
+
+
 def _ranked_in_group(frame: DataFrame, column: str, block: int = 1_000_000) -> DataFrame:
     """``__rank``, a row's place in its group. Rows are ranked in blocks of positions, and blocks add up in a joined table, so a large group fills no task."""
     group, at = F.col(f"`{column}`"), F.floor(F.col(POS) / block)

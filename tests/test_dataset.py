@@ -36,6 +36,19 @@ def test_positions(five):
     assert gone["id"] == "r4" and len(rest) == 4
 
 
+def test_any_number_of_batches_is_one_plan(spark, five):
+    batches = Dataset.from_frame(spark.range(3000).select((2999 - F.col("id")).alias("id"), F.lit("b").alias("batch")), "id", name="d").batch(2)
+    assert len(batches) == 1500 and batches[-1].name == "d_batch_1499" and [r["id"] for r in batches[-1].to_list()] == [2998, 2999]
+    rows = batches.rows()
+    assert rows.columns == ["id", "batch"] and "Union" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, rows.collect())) == [(i, i // 2) for i in range(3000)]
+    assert [ids(b) for b in five.batch(2)[1:]] == [["r2", "r3"], ["r4"]] and list(five.take(0).batch(2)) == []
+    with pytest.raises(IndexError):
+        five.batch(2)[3]
+    with pytest.raises(ValueError):
+        five.batch(0)
+
+
 def test_order_survives_filters_and_sorts(five):
     kept = five.filter(F.col("id") != "r2")
     assert ids(kept) == ["r0", "r1", "r3", "r4"] and ids(kept.skip(2)) == ["r3", "r4"]
