@@ -26,8 +26,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates; empty ones are a group."""
-    return simhash.keep_first(docs)
+    """The first document of each group of near-duplicates, whatever their fingerprints; empty ones are a group."""
+    return simhash.keep_first(docs, radius=None)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

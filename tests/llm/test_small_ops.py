@@ -673,6 +673,43 @@ def test_verified_groups_against_all_pairs(spark):
     assert len(set(group)) <= len(texts) - 15
 
 
+def test_no_pair_that_is_alike_goes_unlinked(spark):
+    """Edited texts of few and many words, against all pairs: whatever their fingerprints, and within a radius."""
+    rng = random.Random(5)
+    texts = ["", " ", None]
+    for _ in range(40):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice([12, 30, 70, 200]))]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(99)}"
+            texts.append(" ".join(copy + [f"t{rng.randrange(9)}"] * rng.randrange(2)))
+    sets, prints = [simhash.shingle_set(t) for t in texts], [simhash.fingerprint(t, 2) for t in texts]
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if simhash.similarity(sets[i], sets[j]) >= 0.8}
+    near = {(i, j) for i, j in alike if (prints[i] ^ prints[j]).bit_count() <= 6}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert len(alike - near) > 5
+    for pairs, radius in ((alike, None), (near, 6)):
+        group = list(range(len(texts)))
+        for i, j in sorted(pairs):
+            a, b = sorted((group[i], group[j]))
+            group = [a if g == b else g for g in group]
+        assert sorted(r["doc_id"] for r in simhash.keep_first(df, radius=radius).collect()) == sorted(set(group))
+    with pytest.raises(ValueError):
+        simhash.keep_first(df, radius=3)
+
+
+def test_prefixes_and_their_buckets():
+    half = np.arange(1, 21, dtype=np.uint64)
+    a = half << 32
+    assert (simhash.prefix(a, (np.empty(0, np.uint64), np.empty(0, np.int64))) >> 32).tolist() == [1, 2, 3, 4, 5]
+    assert (simhash.prefix(a, (half[:3], np.array([2, 1, 3]))) >> 32).tolist() == [4, 5, 6, 7, 8]
+    name, root, fp = np.array([7, 5, 9, 8]), np.array([5, 5, 9, 8]), np.array([0, 0, 127, 1])
+    n, place = np.array([20, 20, 20, 10]), np.array([0, 0, 1, 0])
+    assert sorted(simhash.bucket_pairs(name, root, fp, n, place)) == [(5, 9), (7, 9)]
+    assert len(simhash.bucket_pairs(name, root, fp, n, place, most=1)) == 1 and simhash.bucket_pairs(name, root, fp, n, place, radius=6) == []
+
+
 def test_simhash_edges(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count() and {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16} == {1}
