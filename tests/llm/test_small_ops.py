@@ -710,6 +710,32 @@ def test_prefixes_and_their_buckets():
     assert len(simhash.bucket_pairs(name, root, fp, n, place, most=1)) == 1 and simhash.bucket_pairs(name, root, fp, n, place, radius=6) == []
 
 
+def test_sets_move_only_for_pairs_that_may_be_alike(spark, monkeypatch):
+    """Texts with one passage in common are told apart by parities; the halves of hashes are counted without a row for each."""
+    rng = np.random.default_rng(3)
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.integers(0, len(a) // 3 + 1) :], rng.integers(0, 2**63, rng.integers(0, len(a) // 4 + 1)).astype(np.uint64)]))
+        assert simhash.similarity(a, b) < 0.8 or simhash.may_be_alike(len(a), simhash.parities(a), len(b), simhash.parities(b))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} " + " ".join(f"w{rng.integers(10**6)}" for _ in range(240)) for _ in range(40)]
+    texts += [texts[0] + " end"]
+    sets = simhash._sets(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "name long, first long, text string"))
+    links = spark.createDataFrame([(i, j) for j in range(41) for i in range(j)], "a long, b long")
+    kept, keep = [], simhash.keep
+    monkeypatch.setattr(simhash, "keep", lambda df: kept.append(keep(df)) or kept[-1])
+    monkeypatch.setattr(simhash, "release", lambda table: None)
+    assert [tuple(r) for r in simhash._verified(links, sets).collect()] == [(0, 40)]
+    assert max(t.count() for t in kept if "shingles" in t.columns) < 10  # of 41 sets
+    halves, places = simhash._common(sets)
+    count = {}
+    for t in texts:
+        for h in simhash.shingle_set(t).tolist():
+            count[h >> 32] = count.get(h >> 32, 0) + 1
+    common = sorted((-n, h) for h, n in count.items() if n >= simhash.COMMON)
+    assert [h for _, h in sorted(zip((-places).tolist(), halves.tolist()))] == [h for _, h in common] and len(common) >= 50
+
+
 def test_simhash_edges(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count() and {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16} == {1}
