@@ -6,7 +6,8 @@ from the end, the last token of each prefix. A token can be the last one of a pr
 before it: merging the two as BPE would, no merge crosses their border. Exactly one token passes both tests.
 
 The driver builds the encoder and broadcasts it; its size depends on the vocabulary alone. As it is built, the bytes of each token are merged one by
-one: only tokens that come out are matched, and a piece that is one of them is looked up.
+one: only tokens that come out are matched, and a piece that is one of them is looked up. Other pieces of many texts are encoded in order: what was found of a prefix
+serves all pieces that begin with it.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 REMEMBERED = 110_000
 #: Longer pieces are encoded but not remembered.
 LONGEST_REMEMBERED = 64
+#: Characters of the texts whose pieces are encoded together.
+TOGETHER = 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -117,61 +120,103 @@ class PrefixEncoder:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.whole.get(piece)
-        return self._by_prefixes(piece) if whole is None else [whole]
+        return next(self._by_prefixes([piece])) if whole is None else [whole]
 
-    def _by_prefixes(self, piece: bytes) -> list[int]:
-        n = len(piece)
-        last: list[int] = [-1] * (n + 1)
-        start: list[int] = [0] * (n + 1)
+    def _by_prefixes(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """Encodings of pieces, one after the other. What is known of the prefix that a piece has in common with the piece before is not computed again."""
         step, links, longest, ends, known = self.automaton.step, self.automaton.links, self.automaton.longest, self.automaton.ends, self.compatible
         test = self.are_compatible
-        state = length = 0
-        for end, c in enumerate(piece, 1):
-            follows = step.get(state << 8 | c)
-            while follows is None:
-                state = links[state]
-                if state < 0:
-                    raise ValueError("the vocabulary has no token for a byte")
-                length = longest[state]
+        # of each prefix, by its length: its last token, where that starts, the automaton's state and the length of the suffix read
+        last, start, states, lengths = [-1], [0], [0], [0]
+        previous = b""
+        for piece in pieces:
+            n, at = len(piece), 0
+            for x, y in zip(piece, previous):
+                if x != y:
+                    break
+                at += 1
+            previous = piece
+            if len(last) <= n:
+                more = n + 1 - len(last)
+                last += [-1] * more
+                start += [0] * more
+                states += [0] * more
+                lengths += [0] * more
+            state, length = states[at], lengths[at]
+            for end in range(at + 1, n + 1):
+                c = piece[end - 1]
                 follows = step.get(state << 8 | c)
-            state, length = follows, length + 1
-            for size, token in ends[state]:
-                if size > length:
-                    continue
-                before = end - size
-                if before:
-                    fits = known.get((last[before], token))
-                    if not (test(last[before], token) if fits is None else fits):
+                while follows is None:
+                    state = links[state]
+                    if state < 0:
+                        raise ValueError("the vocabulary has no token for a byte")
+                    length = longest[state]
+                    follows = step.get(state << 8 | c)
+                state, length = follows, length + 1
+                states[end], lengths[end] = state, length
+                for size, token in ends[state]:
+                    if size > length:
                         continue
-                last[end], start[end] = token, before
-                break
-        ids = []
-        while n:
-            ids.append(last[n])
-            n = start[n]
-        ids.reverse()
-        return ids
-
-    def _packed_piece(self, piece: str) -> bytes:
-        found = self.old_packed.get(piece)
-        if found is None:
-            ids = self.encode_piece(piece.encode())
-            found = pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= LONGEST_REMEMBERED:
+                    before = end - size
+                    if before:
+                        fits = known.get((last[before], token))
+                        if not (test(last[before], token) if fits is None else fits):
+                            continue
+                    last[end], start[end] = token, before
+                    break
+            ids = []
+            while n:
+                ids.append(last[n])
+                n = start[n]
+            ids.reverse()
+            yield ids
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces and added tokens of a text; a piece never is the string of an added token."""
+        parts = self.added_pattern.split(text) if self.added_pattern else [text]
+        return self.find_pieces(text) if len(parts) == 1 else [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.find_pieces(part))]
+
+    def _packed_pieces(self, asked: set[str]) -> dict[str, bytes]:
+        """Packed ids of these pieces and added tokens; those not remembered are encoded in order, so that they share prefixes."""
+        if len(self.packed) >= REMEMBERED:
+            self.packed, self.old_packed = {}, self.packed
+        out = {p: self.added[p].to_bytes(4, "little") for p in asked & self.added.keys()}
+        for remembered in (self.packed, self.old_packed):
+            out |= {p: remembered[p] for p in (asked - out.keys()) & remembered.keys()}
+        new = {p.encode(): p for p in asked - out.keys()}
+        for piece in new.keys() & self.whole.keys():
+            out[new.pop(piece)] = self.whole[piece].to_bytes(4, "little")
+        ordered = sorted(new)
+        for piece, ids in zip(ordered, self._by_prefixes(ordered)):
+            out[new[piece]] = pack(f"<{len(ids)}I", *ids)
+        for p in asked - self.packed.keys() - self.added.keys():
             if len(self.packed) >= REMEMBERED:
-                self.packed, self.old_packed = {}, self.packed
-            self.packed[piece] = found
-        return found
+                break
+            if len(p) <= LONGEST_REMEMBERED:
+                self.packed[p] = out[p]
+        return out
 
     def encode_packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        make, out = self._packed_piece, []
-        for k, part in enumerate(self.added_pattern.split(text) if self.added_pattern else [text]):
-            if k % 2:
-                out.append(self.added[part].to_bytes(4, "little"))
-            else:
-                out += [self.packed.get(p) or make(p) for p in self.find_pieces(part)]
-        return b"".join(out)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Packed ids of each text. Texts are taken together until they have ``TOGETHER`` characters, so that their pieces are looked up once."""
+        held: list[list[str]] = []
+        size = 0
+
+        def encoded() -> Iterator[bytes]:
+            packed = self._packed_pieces(set().union(*held)).__getitem__
+            return (b"".join(map(packed, pieces)) for pieces in held)
+
+        for text in texts:
+            held.append(self._cut(text))
+            size += len(text)
+            if size >= TOGETHER:
+                yield from encoded()
+                held, size = [], 0
+        if held:
+            yield from encoded()
 
     def decode_packed(self, packed: bytes) -> str:
         """The text of packed ids; bytes that are not UTF-8 become U+FFFD."""
@@ -198,7 +243,7 @@ def encode_decode(documents: DataFrame, vocabulary_path: str, id_col: str = "doc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
         for part in slices(batches):
-            packed = [encoder.encode_packed(t.as_py() or "") for t in part.column(1)]
+            packed = list(encoder.encode_all(t.as_py() or "" for t in part.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(packed, pa.binary()), pa.array(map(encoder.decode_packed, packed), pa.string())],
                 names=[id_col, "ids", "decoded"],

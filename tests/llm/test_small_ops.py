@@ -523,6 +523,40 @@ def test_suffix_automaton_against_all_suffixes():
             assert [n for n, _ in made.ends[state] if n <= length] == [n for n in range(end, 0, -1) if text[end - n : end] in strings]
 
 
+def test_bpe_reads_a_common_prefix_once(monkeypatch):
+    """Pieces of several texts: each of their prefixes is read once; few remembered pieces and small stretches give the same ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, ours = Tokenizer.from_file(path), bpe.PrefixEncoder(open(path, encoding="utf-8").read())
+    rng = random.Random(9)
+    stems = ["".join(rng.choice(["an", "th", "wh", "é", "ou", "7", "zq"]) for _ in range(9)) for _ in range(20)]
+    texts = [" ".join(rng.choice(stems) + rng.choice(["ing", "q", "ö", "'s", "<|endoftext|>", "\n\n ", "x" * 80]) for _ in range(40)) for _ in range(30)] + ["", " "]
+    want = [b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *args):
+            Counted.n += 1
+            return super().get(*args)
+
+    def reads(encode):
+        ours.packed, ours.old_packed, Counted.n = {}, {}, 0
+        assert encode() == want
+        return Counted.n
+
+    ours.automaton.step = Counted(ours.automaton.step)
+    alone = reads(lambda: [x for t in texts for x in [ours.encode_packed(t)]])
+    together = reads(lambda: list(ours.encode_all(texts)))
+    assert together < 0.75 * alone, (together, alone)
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "TOGETHER", 900)
+    reads(lambda: list(ours.encode_all(texts)))
+    assert len(ours.packed) <= 50
+
+
 def test_bpe_of_a_vocabulary_with_a_token_that_merges_never_make():
     """ab + c comes before a + b, so abc is never reached by way of b + c; and a token without a merge is no token of any text."""
     import json
